@@ -7,8 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -16,6 +19,7 @@ def scratch(spark: SparkSession) -> str:
     """A fresh folder below the shared one that the cluster names in spark.checkpoint.dir.
 
     Only where that setting is absent (tests, a single machine) a local temporary folder is used."""
+    ship(spark)
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = _local.setdefault("dir", None) or _local.update(dir="file://" + tempfile.mkdtemp(prefix="impactlake-")) or _local["dir"]
@@ -37,5 +41,6 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 def extra_columns(df: DataFrame, taken: set[str]) -> list[str]:
     """Columns of df that do not clash (case-insensitively) with the names an operator adds."""
+    ship(df.sparkSession)
     low = {x.lower() for x in taken}
     return [c for c in df.columns if c.lower() not in low]

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
+from ..session import ship
 from ._common import read
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -121,6 +122,8 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, window: int
     if window & window - 1:
         raise ValueError("window must be a power of two")
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, packer = id_reader(vocabulary, ranks), Packer(window)
         base, made = TaskContext.get().partitionId() << 33, 0
