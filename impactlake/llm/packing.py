@@ -160,11 +160,16 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, window: int
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of 1024 tokens."""
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
     import public_tokenizers as tokenizers
 
-    return pack(read(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return stage(spark, read(spark, sf_dir, "documents"), sf_dir)
 
 
 QUERIES = {"op4_packing": op4_packing}

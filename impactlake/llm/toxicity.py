@@ -77,13 +77,13 @@ def presence(texts: list[str | None], wanted: np.ndarray | None = None) -> list[
     return out
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """Logistic regression on presence x ratio by accelerated gradient descent; classes weigh the same."""
+def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float, steps: int, share1: float = 0.7) -> tuple[np.ndarray, float]:
+    """Logistic regression on presence x ratio by accelerated gradient descent; label 1 has share1 of all weight."""
     lengths = np.array([len(r) for r in rows])
     col = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(rows)), lengths)
     x = ratio[col]
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = np.where(y == 1, share1 / max(1, (y == 1).sum()), (1 - share1) / max(1, (y == 0).sum()))
     w, b = np.zeros(len(ratio)), 0.0
     top = float(np.max(np.bincount(row, x * x, len(rows)), initial=1.0)) + 1
     rate = 4.0 / top
@@ -99,7 +99,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float, st
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, z: float = 4.0, l2: float = 1e-5, steps: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, z: float = 4.0, l2: float = 3e-5, steps: int = 2000) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic, training rows only.  At most `sample` labelled rows of each class are used."""
     ship(docs.sparkSession)
     clean = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, z: float = 4.0,
 
     # at most 2 x sample rows of two numbers: safe to broadcast
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    rows = written(joined.mapInArrow(features, "toxic int, grams binary"))
+    rows = written(joined.mapInArrow(features, "toxic int, grams binary").distinct())  # copies of a text would pass for evidence
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), np.int32)
