@@ -4,10 +4,10 @@
    (multiply-add) hashes of them, and 48 bands of 6 minima.  Texts of equal sets are one node.
 2. Nodes that share a band value share a bucket.  A pair at the similarity 0.8 misses all 48 bands
    with a probability of 5e-7.
-3. Pairs inside a bucket are never listed while a leader will do: each member is compared with one
-   leader of its bucket (the smallest id; then one at random; then the one with most links), and pairs
-   whose components are already joined need no comparison.  Buckets that still hold several
-   components are compared pair by pair; large ones are first split by a second band.
+3. Pairs inside a bucket are never listed while a leader will do: each member is compared with the
+   smallest id of its bucket first, and members whose components are then joined need no comparison.
+   In buckets that still hold several components, a member with too many shingles of its own to reach the threshold is out; the others
+   are compared, in large buckets by blocks of bounded size that only give the links they find.
 4. A comparison first looks at the signatures (six standard deviations below 0.8 is out) and then
    counts the full sets: only links with |A and B| / |A or B| >= threshold are kept.
 5. Components by alternating large-star and small-star on the links, written to the shared
@@ -33,7 +33,8 @@ from ._common import read, written
 
 BANDS, ROWS = 48, 6
 MINIMA = BANDS * ROWS
-LARGE = 50  # members of a mixed bucket above which a second band splits it
+LARGE = 50  # members of a mixed bucket above which it is compared in blocks
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 2048  # documents and shingles of a block, columns of a matrix product
 P = 0x9E3779B97F4A7C15
 
 
@@ -170,7 +171,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         one = sets.select("doc", what)
         return p.join(one.select(F.col("doc").alias("a"), F.col(what).alias("x")), "a").join(one.select(F.col("doc").alias("b"), F.col(what).alias("y")), "b").select("a", "b", "x", "y")
 
-    near = written(both_sides(pairs, "sig").mapInArrow(alike, "a long, b long"))
+    near = both_sides(pairs, "sig").mapInArrow(alike, "a long, b long")
     return written(both_sides(near, "set").mapInArrow(linked, "a long, b long"))
 
 
@@ -208,54 +209,133 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     # one node for each distinct set; only sets that occur again need the join
     again = feats.where(known).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "rep")
     tagged = written(feats.join(again, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(known & (F.coalesce("rep", "doc_id") == F.col("doc_id")), F.col("bands")).alias("bands")))
-    spread = tagged.where("bands is not null").select(F.col("doc_id").alias("doc"), F.explode("bands").alias("key"))
+    spread = tagged.where("bands is not null").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
-    members = written(spread.join(shared, "key").select("key", "doc"))
+    members = written(spread.join(shared, "key").select("key", "doc", "n"))
     involved = written(members.select("doc").distinct())
     # Spark broadcasts the ids only if their file is small, and shuffles otherwise
     sets = written(_sets(docs.select("doc_id", "text").join(involved.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"), rule).dropDuplicates(["doc"]), "lz4")
 
-    empty = spark.createDataFrame([], "a long, b long")
-    links, done, roots = empty, empty, spark.createDataFrame([], "node long, root long")
-    for how in ("least id", "at random", "most links", "every pair"):
-        placed = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-        if how == "every pair":
-            pairs = _every_pair(placed, tagged)
-        else:
-            degree = links.select(F.col("a").alias("doc")).union(links.select("b")).groupBy("doc").count()
-            if how == "least id":
-                rank = F.struct(-F.col("doc"), "doc", "root")
-            elif how == "at random":
-                rank = F.struct(F.xxhash64("doc", "key"), "doc", "root")
-            else:
-                placed = placed.join(degree, "doc", "left")
-                rank = F.struct(F.coalesce("count", F.lit(0)), F.xxhash64("doc"), "doc", "root")
-            leader = placed.groupBy("key").agg(F.max(rank).alias("l"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", F.col("l.doc").alias("ldoc"), F.col("l.root").alias("lroot"))
-            pairs = placed.join(leader, "key").where("root <> lroot").select(F.least("doc", "ldoc").alias("a"), F.greatest("doc", "ldoc").alias("b"))
-        pairs = written(pairs.distinct().join(done, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        new = _verified(pairs, sets, rule)
-        done, links = done.union(pairs), links.union(new)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
+    roots = spark.createDataFrame([], "node long, root long")
+
+    def joined(new: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
+
+    # every member against the leader of its bucket
+    leader = members.groupBy("key").agg(F.min("doc").alias("ldoc"))
+    pairs = members.join(leader, "key").where("doc <> ldoc").select(F.col("ldoc").alias("a"), F.col("doc").alias("b"))
+    done = written(pairs.distinct())
+    if not done.isEmpty():
+        roots = joined(_verified(done, sets, rule))
+        # what is left: members that could still reach the threshold, in buckets of several components
+        placed = _mixed(members, roots)
+        rare = written(_rare(sets.join(placed.select("doc").distinct(), "doc", "left_semi")))
+        alive = _mixed(_alive(placed, rare, rule).select("key", "doc", "n"), roots)
+        small, large = alive.where(F.col("size") <= LARGE), alive.where(F.col("size") > LARGE)
+        x, y = (small.select("key", F.col("doc").alias(d), F.col("root").alias(f"r{d}"), F.col("n").alias(f"n{d}")) for d in "ab")
+        near = F.lit(100) * F.least("na", "nb") >= F.lit(rule.percent) * F.greatest("na", "nb")
+        pairs = x.join(y, "key").where("a < b and ra <> rb").where(near).select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+        new = _verified(written(pairs), sets, rule)
+        if not large.isEmpty():
+            new = new.union(_in_blocks(large, sets, rule))
+        roots = joined(new)
     out = tagged.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     root = F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", root.alias("component_id"), root.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _every_pair(placed: DataFrame, tagged: DataFrame) -> DataFrame:
-    """All pairs of different components inside a bucket; large buckets are split by a second band first.
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their component, and the bucket's size and smallest set."""
+    placed = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("root", "doc").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.min("n").alias("least_n")).where("lo < hi").select("key", "size", "least_n")
+    return written(placed.join(mixed, "key"))
 
-    A pair at the threshold shares one of the other bands as surely as it shares the first."""
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
-    rows = written(placed.join(mixed, "key"))
-    small, large = rows.where(F.col("n") <= LARGE).select("key", "doc", "root"), rows.where(F.col("n") > LARGE)
-    bands = tagged.where("bands is not null").select(F.col("doc_id").alias("doc"), "bands")
-    second = large.join(bands, "doc").select(F.col("key").alias("key1"), "doc", "root", F.explode("bands").alias("key2")).where("key1 <> key2")
-    second = second.select(F.xxhash64("key1", "key2").alias("key"), "doc", "root")
-    both = small.union(second)
-    x, y = both.toDF("key", "a", "ra"), both.toDF("key", "b", "rb")
-    return x.join(y, "key").where("a < b and ra <> rb").select("a", "b")
+
+def _rare(sets: DataFrame) -> DataFrame:
+    """doc, rare: how many of its shingles no other of the documents has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys = np.frombuffer(data, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), doc))], names=["h", "doc"])
+
+    once = sets.select("doc", "set").mapInArrow(run, "h long, doc long").groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("doc")).where("c = 1")
+    return once.groupBy("doc").agg(F.count(F.lit(1)).alias("rare"))
+
+
+def _alive(placed: DataFrame, rare: DataFrame, rule: Rule) -> DataFrame:
+    """Members that the threshold does not rule out: shingles that no other document has cannot be in common,
+    and no partner in the bucket is smaller than its smallest set."""
+    rows = placed.join(rare, "doc", "left").withColumn("s", F.col("n") - F.coalesce("rare", F.lit(0)))
+    return rows.where(F.lit(100) * F.col("s") >= F.lit(rule.percent) * (F.col("n") + F.greatest("least_n", "s") - F.col("s"))).drop("rare", "s")
+
+
+def _in_blocks(large: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links among the members of large buckets, by full sets, in pairs of blocks of bounded size.
+
+    Buckets that share members make a cloud; a cloud's documents are dealt to blocks by hash, and each pair of
+    blocks is one group: its common shingles are counted by a matrix product, and of the links it finds only a spanning forest
+    goes on, so that rows grow with the documents and not with the pairs."""
+    edges = large.groupBy("key").agg(F.min("doc").alias("lead")).join(large.select("key", "doc"), "key").select(F.col("lead").alias("a"), F.col("doc").alias("b"))
+    clouds = components(edges)
+    placed = large.select("doc", "root", "n").distinct().join(clouds.select(F.col("node").alias("doc"), F.col("root").alias("cloud")), "doc", "left").withColumn("cloud", F.coalesce("cloud", "doc"))
+    sizes = placed.groupBy("cloud").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = placed.join(sizes, "cloud").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cloud", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc", "root").join(sets.select("doc", "set"), "doc")
+    percent = rule.percent
+
+    def links(t: pa.Table) -> pa.Table:
+        doc, root, own = (np.asarray(t.column(c)) for c in ("doc", "root", "own"))
+        keys = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        n = np.array([len(k) for k in keys])
+        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        common = _common(keys, left, right)
+        total = n[left][:, None] + n[right][None, :] - common
+        i, j = np.nonzero((100 * common >= percent * total) & (root[left][:, None] != root[right][None, :]))
+        return _forest(doc[left[i]], root[left[i]], doc[right[j]], root[right[j]])
+
+    return written(dealt.groupBy("cloud", "p", "q").applyInArrow(links, "a long, b long"))
+
+
+def _common(keys: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many keys each of the left sets has in common with each of the right ones."""
+    flat, which = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.bincount(which, minlength=len(flat))
+    again = np.cumsum(counts > 1) - 1  # columns of keys that occur again
+    at = np.cumsum([0, *(len(k) for k in keys)])
+    some = [again[c[counts[c] > 1]] for c in (which[a:b] for a, b in zip(at, at[1:]))]
+    out = np.zeros((len(left), len(right)), np.float32)
+    width = int((counts > 1).sum())
+    for lo in range(0, width, COLUMNS):
+        x, y = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+        for m, rows in ((x, left), (y, right)):
+            for r, i in enumerate(rows):
+                c = some[i]
+                c = c[np.searchsorted(c, lo) : np.searchsorted(c, lo + COLUMNS)]
+                m[r, c - lo] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def _forest(a: np.ndarray, root_a: np.ndarray, b: np.ndarray, root_b: np.ndarray) -> pa.Table:
+    """Of links between components as many as join them."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for x, rx, y, ry in zip(a.tolist(), root_a.tolist(), b.tolist(), root_b.tolist()):
+        rx, ry = find(rx), find(ry)
+        if rx != ry:
+            up[rx] = ry
+            out.append((x, y))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
