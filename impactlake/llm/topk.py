@@ -27,7 +27,8 @@ from ..session import ship
 from ._common import read, scratch
 
 DEPTHS = (8, 24)  # turned coordinates after which pairs are pruned
-SLICE, CHUNK, BUFFER = 2048, 1024, 1 << 16
+SLICE, CHUNK, BUFFER = 1024, 256, 1 << 15
+DENSE, PIECE = 0.05, 1 << 15  # share of a block's pairs from which one product is cheaper; pairs scored at a time
 SEEDS = 512
 
 
@@ -76,16 +77,28 @@ class Best:
         qi, xi = np.nonzero(part + self.rest[0][some][:, None] * rest[0][None, :] + 0.5 >= self.floor[some][:, None])
         sums = part[qi, xi]
         for before, h, own, theirs in zip(DEPTHS, DEPTHS[1:], self.rest[1:], rest[1:]):
+            if len(qi) > DENSE * part.size:
+                break  # too many to look at one by one
             sums = sums + np.einsum("ij,ij->i", self.turned[some[qi], before:h], turned[xi, before:h])
             keep = sums + own[some[qi]] * theirs[xi] + 0.5 >= self.floor[some[qi]]
             qi, xi, sums = qi[keep], xi[keep], sums[keep]
-        q = some[qi]
-        other = self.ids[q] != ids[xi]
-        q, xi = q[other], xi[other]
-        score = np.einsum("ij,ij->i", self.q[q], x[xi])
-        good = score >= self.floor[q]
-        if good.any():
-            self._merge(q[good], score[good], ids[xi[good]])
+        # what is left is scored exactly: a dense block by one product, a sparse one pair by pair, both in bounded memory
+        dense = len(qi) > DENSE * part.size
+        exact = self._product(some, x) if dense else None
+        for lo in range(0, len(qi), PIECE):
+            i, j = qi[lo : lo + PIECE], xi[lo : lo + PIECE]
+            q = some[i]
+            score = exact[i, j] if dense else np.einsum("ij,ij->i", self.q[q], x[j])
+            good = (score >= self.floor[q]) & (self.ids[q] != ids[j])
+            if good.any():
+                self._merge(q[good], score[good], ids[j[good]])
+
+    def _product(self, some: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Integer inner products; doubles hold them exactly below 2^52."""
+        q = self.q[some]
+        if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 1 << 52:
+            return (q.astype(float) @ x.T.astype(float)).astype(np.int64)
+        return q @ x.T
 
     def _merge(self, q: np.ndarray, score: np.ndarray, vec: np.ndarray) -> None:
         q, score, vec = np.concatenate([self.query, q]), np.concatenate([self.score, score]), np.concatenate([self.vec, vec])
