@@ -55,7 +55,7 @@ def page_gaps(df: DataFrame, key: str, page: str, first: int = 0, most: Column |
     """Pages between the first and the last one seen that are not there."""
     seen = df.select(key, page).distinct()
     span = seen.groupBy(key).agg(F.max(page).alias("_last"))
-    return span.select(key, F.explode(F.sequence(F.lit(first), F.coalesce(most, F.col("_last")))).alias(page)).join(seen, [key, page], "left_anti")
+    return span.select(key, F.explode(F.sequence(F.lit(first), F.col("_last") if most is None else most)).alias(page)).join(seen, [key, page], "left_anti")
 
 
 def coverage(full: DataFrame, ours: DataFrame, value: str) -> DataFrame:

@@ -24,11 +24,15 @@ def summary(base: DataFrame, children: DataFrame, key: str, low_high: str, lists
     return out.withColumn(flag_name, F.coalesce(flag_name, F.lit(False)))
 
 
+def _cells(c: str) -> Column:
+    return F.transform(F.array_distinct(F.col(c)), lambda x: F.struct(F.lit(c).alias("facet_name"), x.cast("string").alias("facet_value")))
+
+
 def facets(df: DataFrame, scalars: Sequence[str] = (), arrays: Sequence[str] = ()) -> DataFrame:
     """(facet_name, facet_value, facet_count): +1 a row and distinct value; null and empty values do not count.  One pass, one shuffle."""
     cells = F.concat(
         F.array(*[F.struct(F.lit(c).alias("facet_name"), F.col(c).cast("string").alias("facet_value")) for c in scalars]) if scalars else F.array().cast("array<struct<facet_name:string,facet_value:string>>"),
-        *[F.transform(F.array_distinct(F.col(c)), lambda x, c=c: F.struct(F.lit(c).alias("facet_name"), x.cast("string").alias("facet_value"))) for c in arrays],
+        *[_cells(c) for c in arrays],
     )
     each = df.select(F.explode(cells).alias("f")).select("f.*").where("facet_value is not null and facet_value <> ''")
     return each.groupBy("facet_name", "facet_value").agg(F.count(F.lit(1)).alias("facet_count"))

@@ -230,7 +230,7 @@ def date_status(spark, d):
     return t(spark, d, "orders").select("o_orderkey", dates.date_status(s).alias("status"), dates.date_value(s).alias("date"))
 
 
-@query(r"""SELECT conv_id, turn, nullif(trim(regexp_replace(upper(text), '\s+', ' ', 'g')), '') AS normal FROM conversations""")
+@query(r"""SELECT conv_id, turn, nullif(trim(regexp_replace(replace(upper(text), 'ẞ', 'SS'), '\s+', ' ', 'g')), '') AS normal FROM conversations""")
 def normalize_text(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", text.normalize_text(F.col("text")).alias("normal"))
 
@@ -464,7 +464,7 @@ def capacity(spark, d):
     return audit.capacity(audit.table_counts({n: t(spark, d, n) for n in SIZES}), 1500, 3891)
 
 
-@query("""SELECT table_name, row_count, CASE WHEN row_count >= 50000 THEN 'partitioned_files' ELSE 'single_file' END AS advice FROM (SELECT 'lineitem' AS table_name, count(*) AS row_count FROM lineitem
+@query("""SELECT table_name, row_count, CASE WHEN row_count >= 50000 THEN 'partitioned_files' WHEN row_count >= 5000 THEN 'columnar_file' ELSE 'single_file' END AS advice FROM (SELECT 'lineitem' AS table_name, count(*) AS row_count FROM lineitem
     UNION ALL SELECT 'orders', count(*) FROM orders) ORDER BY row_count DESC LIMIT 10""")
 def bottlenecks(spark, d):
     c = audit.table_counts({n: t(spark, d, n) for n in ("lineitem", "orders")})
