@@ -95,15 +95,19 @@ def tests(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
     return all_.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def participants(vehicles: DataFrame, barriers: DataFrame) -> DataFrame:
+def participants(vehicles: DataFrame, barriers: DataFrame, impactor_make: str | None = None) -> DataFrame:
     """Vehicles (subjects and impactors) and barriers that take part in a test."""
-    v = vehicles.select("test_no", F.col("vehicle_no"), participant_kind(F.col("make"), F.col("model")).alias("kind"), F.concat_ws(" ", "make", "model").alias("name"))
+    v = vehicles.select("test_no", F.col("vehicle_no"), participant_kind(F.col("make"), F.col("model"), impactor_make).alias("kind"), F.concat_ws(" ", "make", "model").alias("name"))
     b = barriers.select("test_no", F.lit(None).cast("int").alias("vehicle_no"), F.lit("barrier").alias("kind"), F.concat_ws(" ", "rigidity", "shape").alias("name"))
     return v.unionByName(b)
 
 
-def participant_kind(make: Column, model: Column, impactor_make: str = "NHTSA") -> Column:
-    return F.when((F.upper(make) == impactor_make) & F.upper(model).contains("IMPACTOR"), "impactor_vehicle").otherwise("subject_vehicle")
+def participant_kind(make: Column, model: Column, impactor_make: str | None = None) -> Column:
+    """Impactors by their model; with impactor_make only those of that make."""
+    hit = F.coalesce(F.upper(model).contains("IMPACTOR"), F.lit(False))
+    if impactor_make:
+        hit = hit & (F.upper(F.coalesce(make, F.lit(""))) == impactor_make.upper())
+    return F.when(hit, "impactor_vehicle").otherwise("subject_vehicle")
 
 
 def present_codes(rows: DataFrame, codes: list[str], keep: list[Column], data: str = "data") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,18 +60,13 @@ def balanced_pick(df: DataFrame, group: str, bucket: str, order: list[str], take
     return ranked.withColumn("pick_order", F.row_number().over(pick)).where(F.col("pick_order") <= take).drop("_round")
 
 
-def greedy_pick(df: DataFrame, group: str, value: str, quota: int, schema: str) -> DataFrame:
-    """A sequential choice that no closed form gives: rows of a (small, bounded) group in order, skipping a value that was just taken."""
+def greedy_pick(df: DataFrame, group: str, value: str, order: list[str], quota: int) -> DataFrame:
+    """Rows taken in order, skipping a row whose value was just taken, at most `quota` a group.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, kept = None, []
-        for i, v in enumerate(pdf[value]):
-            if v != last and len(kept) < quota:
-                kept.append(i)
-                last = v
-        return pdf.iloc[kept]
-
-    return df.groupBy(group).applyInPandas(run, schema)
+    A row is taken by such a walk exactly if its value differs from that of the row before it, so no loop is needed."""
+    w = Window.partitionBy(group).orderBy(*order)
+    changed = df.withColumn("_before", F.lag(value).over(w)).where(F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col("_before")))
+    return changed.withColumn("pick_order", F.row_number().over(w)).where(F.col("pick_order") <= quota).drop("_before")
 
 
 def set_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -369,10 +369,10 @@ def coverage_outer(spark, d):
     return audit.coverage(full, ours, "year")
 
 
-@query("""SELECT CASE WHEN c IS NULL THEN 'right_only' ELSE 'left_only' END AS side, coalesce(c, o) AS custkey FROM (SELECT DISTINCT c_custkey AS c FROM customer WHERE c_custkey % 3 <> 0)
+@query("""SELECT CASE WHEN c IS NULL THEN 'right_only' ELSE 'left_only' END AS side, coalesce(c, o) AS custkey FROM (SELECT DISTINCT c_custkey AS c FROM customer WHERE c_acctbal > 3000)
     FULL JOIN (SELECT DISTINCT o_custkey AS o FROM orders) ON c = o WHERE c IS NULL OR o IS NULL""")
 def set_diff(spark, d):
-    a = t(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("custkey"))
+    a = t(spark, d, "customer").where("c_acctbal > 3000").select(F.col("c_custkey").alias("custkey"))
     return planning.set_differences(a, t(spark, d, "orders").select(F.col("o_custkey").alias("custkey")), "custkey")
 
 
@@ -512,9 +512,9 @@ def validation_status(spark, d):
 
 # --- record linkage -----------------------------------------------------------------------------------------------
 
-SCORE = "(CASE WHEN a.p_name = b.p_name THEN 20 ELSE 0 END + CASE WHEN a.p_type = b.p_type THEN 5 ELSE 0 END + CASE WHEN abs(a.p_size - b.p_size) <= 2 THEN 10 ELSE 0 END)"
-RANKED = f"""WITH s AS (SELECT a.p_partkey AS subject, b.p_partkey AS candidate, b.p_type AS signature, CAST({SCORE} AS INTEGER) AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey
-      WHERE a.p_partkey % 10 = 0 AND {SCORE} >= 5),
+SCORE = "(CASE WHEN a.p_name = b.p_name THEN 20 ELSE 0 END + CASE WHEN a.p_size = b.p_size THEN 5 ELSE 0 END + CASE WHEN abs(a.p_size - b.p_size) <= 2 THEN 10 ELSE 0 END)"
+RANKED = f"""WITH s AS (SELECT a.p_partkey AS subject, b.p_partkey AS candidate, b.p_name AS signature, CAST({SCORE} AS INTEGER) AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey
+      WHERE {SCORE} >= 5),
     k AS (SELECT *, CAST(row_number() OVER (PARTITION BY subject ORDER BY score DESC, candidate) AS INTEGER) AS candidate_rank FROM s QUALIFY candidate_rank <= 8)"""
 CONF = """c AS (SELECT subject, count(*) AS candidate_count, max(score) FILTER (candidate_rank = 1) AS top_score, max(score) FILTER (candidate_rank = 2) AS second_score FROM k GROUP BY 1),
     f AS (SELECT *, CASE WHEN candidate_count = 1 THEN 'HIGH_SINGLE_VARIANT' WHEN (top_score >= 25 AND top_score - second_score >= 10) OR (top_score >= 12 AND top_score - second_score >= 5) THEN 'HIGH_DISAMBIGUATED'
@@ -523,11 +523,11 @@ CONF = """c AS (SELECT subject, count(*) AS candidate_count, max(score) FILTER (
 
 def ranked(spark, d) -> DataFrame:
     p = t(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size")
-    a = p.where("p_partkey % 10 = 0").toDF("subject", "p_brand", "an", "at", "asz")
-    b = p.toDF("candidate", "p_brand", "bn", "bt", "bsz")
-    score = F.when(F.col("an") == F.col("bn"), 20).otherwise(0) + F.when(F.col("at") == F.col("bt"), 5).otherwise(0) + F.when(F.abs(F.col("asz") - F.col("bsz")) <= 2, 10).otherwise(0)
-    out = linkage.candidates(a, b, ["p_brand"], F.when(F.col("subject") != F.col("candidate"), score), 5, ["subject"], ["candidate"], 8)
-    return out.select("subject", "candidate", F.col("bt").alias("signature"), "score", "candidate_rank")
+    a = p.toDF("subject", "p_brand", "an", "p_type", "asz")
+    b = p.toDF("candidate", "p_brand", "bn", "p_type", "bsz")
+    score = F.when(F.col("an") == F.col("bn"), 20).otherwise(0) + F.when(F.col("asz") == F.col("bsz"), 5).otherwise(0) + F.when(F.abs(F.col("asz") - F.col("bsz")) <= 2, 10).otherwise(0)
+    out = linkage.candidates(a, b, ["p_brand", "p_type"], F.when(F.col("subject") != F.col("candidate"), score), 5, ["subject"], ["candidate"], 8)
+    return out.select("subject", "candidate", F.col("bn").alias("signature"), "score", "candidate_rank")
 
 
 @query(RANKED + " SELECT * FROM k")
@@ -565,18 +565,18 @@ def variant_argmax(spark, d):
 def authority(spark, d) -> tuple[DataFrame, DataFrame]:
     p = t(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "3").otherwise("4").alias("stars"), F.lit("x").alias("tip"))
     m = F.col("p_partkey") % 6
-    a = t(spark, d, "part").where("p_partkey % 4 <> 0").select("p_partkey", F.when(m == 1, "0").when(m == 2, "5").when(m == 3, "N/A").when(m == 5, "9").otherwise("2").alias("stars"), F.when(m == 1, "No Tip").when(m == 2, "0").otherwise("odd").alias("tip"))
+    a = t(spark, d, "part").where("p_type <> 'PROMO'").select("p_partkey", F.when(m == 1, "0").when(m == 2, "5").when(m == 3, "N/A").when(m == 5, "9").otherwise("2").alias("stars"), F.when(m == 1, "No Tip").when(m == 2, "0").otherwise("odd").alias("tip"))
     return p, a
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN s ELSE CASE p_partkey % 6 WHEN 1 THEN 'Not Rated' WHEN 2 THEN '5' WHEN 3 THEN s WHEN 5 THEN s ELSE '2' END END AS stars,
-    CASE WHEN p_partkey % 4 = 0 THEN 'x' ELSE CASE p_partkey % 6 WHEN 1 THEN 'No Tip' WHEN 2 THEN NULL ELSE 'x' END END AS tip FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '3' ELSE '4' END AS s FROM part)""")
+@query("""SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN s ELSE CASE p_partkey % 6 WHEN 1 THEN 'Not Rated' WHEN 2 THEN '5' WHEN 3 THEN s WHEN 5 THEN s ELSE '2' END END AS stars,
+    CASE WHEN p_type = 'PROMO' THEN 'x' ELSE CASE p_partkey % 6 WHEN 1 THEN 'No Tip' WHEN 2 THEN NULL ELSE 'x' END END AS tip FROM (SELECT p_partkey, p_type, CASE WHEN p_size % 2 = 0 THEN '3' ELSE '4' END AS s FROM part)""")
 def authority_overwrite(spark, d):
     p, a = authority(spark, d)
     return linkage.overwrite(p, a, "p_partkey", {"stars": "star", "tip": "tip"})
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'NO_CSV_MATCH' WHEN p_partkey % 6 = 5 THEN 'REVIEW_CONFLICT' WHEN p_partkey % 6 IN (1, 2) OR (p_partkey % 6 IN (0, 4)) THEN 'READY_OFFICIAL_ENRICHMENT' ELSE 'ALREADY_ALIGNED' END AS status FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'NO_CSV_MATCH' WHEN p_partkey % 6 = 5 THEN 'REVIEW_CONFLICT' WHEN p_partkey % 6 IN (1, 2) OR (p_partkey % 6 IN (0, 4)) THEN 'READY_OFFICIAL_ENRICHMENT' ELSE 'ALREADY_ALIGNED' END AS status FROM part""")
 def adoption_status(spark, d):
     p, a = authority(spark, d)
     j = p.join(a.select("p_partkey", F.col("stars").alias("theirs"), F.lit(True).alias("hit")), "p_partkey", "left")
@@ -642,11 +642,10 @@ def channel_volume(spark, d):
     return channels(spark, 10001).groupBy("sensor_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH c AS (SELECT p_brand, p_type, p_partkey, lag(p_type) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS before FROM part)
+    SELECT p_brand, p_type, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS pick_order FROM c WHERE before IS NULL OR before <> p_type QUALIFY pick_order <= 40""")
 def greedy_pick(spark, d):
-    """Sequential choice within a bounded group."""
-    p = t(spark, d, "part").select("p_brand", "p_type", "p_partkey").where("p_brand = 'Brand#1'").orderBy("p_partkey").limit(500)
-    return planning.greedy_pick(p, "p_brand", "p_type", 40, "p_brand string, p_type string, p_partkey long")
+    return planning.greedy_pick(t(spark, d, "part").select("p_brand", "p_type", "p_partkey"), "p_brand", "p_type", ["p_partkey"], 40)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -179,11 +179,11 @@ def model_scores(spark, d):
     return t(spark, d, "part").select("p_partkey", vehicles.model_name_score(db, api, F.lit("FORD")).alias("score"))
 
 
-@query("""SELECT l_partkey % 100 AS subject, min(l_suppkey) AS id FROM (SELECT DISTINCT l_partkey % 100 AS subject_, l_partkey, l_suppkey FROM lineitem WHERE l_partkey < 400) WHERE l_suppkey = (l_partkey % 100) GROUP BY 1 HAVING count(*) = 1""")
+@query("""WITH b AS (SELECT l_partkey, l_suppkey AS id FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY round(l_extendedprice * 100)::BIGINT DESC, l_suppkey, l_orderkey) = 1)
+    SELECT l_partkey, min(l_suppkey) AS id FROM lineitem JOIN b USING (l_partkey) WHERE l_suppkey = id GROUP BY 1 HAVING count(*) = 1""")
 def report_evidence(spark, d):
-    c = t(spark, d, "lineitem").where("l_partkey < 400").select((F.col("l_partkey") % 100).alias("subject"), "l_partkey", F.col("l_suppkey").alias("id")).distinct().select("subject", "id")
-    r = c.select("subject").distinct().withColumn("id", F.col("subject"))
-    return linkage.unique_evidence(r, c, "subject", "id")
+    c = t(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("id"), cents("l_extendedprice").alias("price"), "l_orderkey")
+    return linkage.unique_evidence(linkage.best_variant(c, "l_partkey", "price", ["id", "l_orderkey"]).select("l_partkey", "id"), c.select("l_partkey", "id"), "l_partkey", "id")
 
 
 @query(f"""SELECT o_orderkey, o_orderstatus, c_name, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS line_count, (SELECT string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) FROM {L} WHERE l_orderkey = o_orderkey) AS makes

@@ -22,7 +22,7 @@ def rows(spark):
     data = [
         ("test_summary", 1, {"results": [{"testNo": 1, "testDate": "2016-01-02", "impactAngle": "0", "testType": "NCAP"}, "noise"]}),
         ("metadata_export", 1, export),
-        ("vehicle_info", 1, {"results": [{"vehicleNo": 1, "vehicleMake": "FORD", "modelYear": 2015, "vehicleSpeed": ""}, {"vehicleNo": 2, "vehicleMake": "NHTSA", "vehicleModel": "Deformable Impactor", "modelYear": 0}]}),
+        ("vehicle_info", 1, {"results": [{"vehicleNo": 1, "vehicleMake": "FORD", "modelYear": 2015, "vehicleSpeed": ""}, {"vehicleNo": 2, "vehicleMake": "LAB", "vehicleModel": "Deformable Impactor", "modelYear": 0}]}),
         ("occupant_info", 1, {"results": [{"vehicleNo": 1, "occupantLocation": "DRIVER", "HIC": "0", "TTI": None}]}),
         ("vehicle_documents", 1, {"results": [{"udsFiles": "http://x/uds/1", "evFiles": "", "isoFiles": "http://x/iso.zip", "abfFiles": None, "tdmsFiles": "http://x/t.tdms"}]}),
         ("barrier_info", 1, {"results": []}),
