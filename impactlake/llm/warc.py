@@ -405,4 +405,11 @@ def _base32(hexed):
     return F.concat(*out)
 
 
+_LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(s, {10 * i + 1}, 10) AS BIGINT) >> {35 - 5 * j}) & 31 AS INTEGER) + 1, 1)" for i in range(4) for j in range(8))
+ORACLES = {
+    "op10_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+        SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_LETTERS} AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM p""",
+}
 QUERIES = {"op10_warc": op10_warc}
