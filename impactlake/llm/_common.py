@@ -36,7 +36,19 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that `written` made and that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def extra_columns(df: DataFrame, taken: set[str]) -> list[str]:

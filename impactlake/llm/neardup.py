@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read, written
+from ._common import drop, read, written
 
 BANDS, ROWS = 48, 6
 MINIMA = BANDS * ROWS
@@ -183,17 +183,19 @@ def components(edges: DataFrame) -> DataFrame:
         # large-star: every larger neighbour of u is tied to the least of u and its neighbours
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large)
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small-star: u and its smaller neighbours are tied to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = written(small.distinct())
+        before, now = now, written(small.distinct())
+        drop(before, large)
         new = _mark(now)
         if new == mark:
             break
         mark = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._scratch = now._scratch
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -209,6 +211,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     # one node for each distinct set; only sets that occur again need the join
     again = feats.where(known).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "rep")
     tagged = written(feats.join(again, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(known & (F.coalesce("rep", "doc_id") == F.col("doc_id")), F.col("bands")).alias("bands")))
+    drop(feats)
     spread = tagged.where("bands is not null").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
     members = written(spread.join(shared, "key").select("key", "doc", "n"))
@@ -218,8 +221,13 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     roots = spark.createDataFrame([], "node long, root long")
 
-    def joined(new: DataFrame) -> DataFrame:
-        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
+    def joined(*new: DataFrame) -> DataFrame:
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        for n in new:
+            links = links.union(n)
+        out = components(links)
+        drop(roots, *new)
+        return out
 
     # every member against the leader of its bucket
     leader = members.groupBy("key").agg(F.min("doc").alias("ldoc"))
@@ -235,10 +243,13 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         x, y = (small.select("key", F.col("doc").alias(d), F.col("root").alias(f"r{d}"), F.col("n").alias(f"n{d}")) for d in "ab")
         near = F.lit(100) * F.least("na", "nb") >= F.lit(rule.percent) * F.greatest("na", "nb")
         pairs = x.join(y, "key").where("a < b and ra <> rb").where(near).select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-        new = _verified(written(pairs), sets, rule)
+        pairs = written(pairs)
+        new = [_verified(pairs, sets, rule)]
         if not large.isEmpty():
-            new = new.union(_in_blocks(large, sets, rule))
-        roots = joined(new)
+            new.append(_in_blocks(large, sets, rule))
+        roots = joined(*new)
+        drop(placed, rare, alive, pairs)
+    drop(members, involved, sets, done)
     out = tagged.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     root = F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", root.alias("component_id"), root.eqNullSafe(F.col("doc_id")).alias("kept"))
@@ -296,7 +307,9 @@ def _in_blocks(large: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         i, j = np.nonzero((100 * common >= percent * total) & (root[left][:, None] != root[right][None, :]))
         return _forest(doc[left[i]], root[left[i]], doc[right[j]], root[right[j]])
 
-    return written(dealt.groupBy("cloud", "p", "q").applyInArrow(links, "a long, b long"))
+    out = written(dealt.groupBy("cloud", "p", "q").applyInArrow(links, "a long, b long"))
+    drop(clouds)
+    return out
 
 
 def _common(keys: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
