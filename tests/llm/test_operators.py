@@ -238,6 +238,15 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def test_toxicity_without_evidence_keeps_documents(spark):
+    """Labels that have nothing to do with the texts: no text reaches the threshold."""
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, prose(r, 40)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(60)], "doc_id long, toxic int")
+    p = toxicity.score(docs, toxicity.fit(docs, labels, z=99.0)).toPandas()
+    assert p.score.nunique() == 1 and p.score.max() < 0.7
+
+
 def test_presence_equals_sets_of_substrings():
     texts = ["Ab cd", None, "", "abcdefgh abcdefgh", "é中😀 x"]
     seen = {}
@@ -268,6 +277,13 @@ def test_language(spark):
     assert (none.lang_pred == "und").all()
 
 
+def test_language_sample_is_fine_grained(spark):
+    """A sample that is a small share of the documents still has rows of each language."""
+    d = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "baba").otherwise("kuku").alias("text"), F.when(F.col("id") % 2 == 0, "xx").otherwise("yy").alias("lang"))
+    assert language.fit(d, sample=20).langs == ["xx", "yy"]
+    assert language.SLOTS / 10**12 > 1000
+
+
 def test_ppm_costs_equal_a_walk_down_the_contexts():
     texts = {"a": [b"abracadabra", b"abba"], "b": [b"banana", b"cabana"]}
     model = language.build({k: [(g, c.astype(float)) for g, c in language.count(v)] for k, v in texts.items()})
