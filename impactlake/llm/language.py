@@ -33,6 +33,7 @@ from ._common import extra_columns, read
 ORDER = 4
 BATCH_BYTES = 1 << 19
 PAD = b"\n" * ORDER
+SLOTS = 1 << 52  # hash values a share of the documents is cut from, fine enough for any table
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -179,8 +180,8 @@ def fit(docs: DataFrame, sample: int = 1000) -> Model:
     if not sizes:
         return Model([], [], [])
     share = {k: min(1.0, sample / v) for k, v in sizes.items()}
-    below = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(v * 1_000_000))) for k, v in share.items()])
-    chosen = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < below).select("lang", "text")
+    below = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(v * SLOTS))) for k, v in share.items()])
+    chosen = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) < below).select("lang", "text")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[bytes]] = {}
