@@ -100,7 +100,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float, st
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, z: float = 3.0, l2: float = 3e-5, steps: int = 2000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, z: float = 3.5, l2: float = 3e-5, steps: int = 1000) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic, training rows only.  At most `sample` labelled rows of each class are used."""
     ship(docs.sparkSession)
     clean = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
