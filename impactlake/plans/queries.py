@@ -634,7 +634,7 @@ def endpoint_coverage(spark, d):
     return by.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name").agg(F.sum("n").alias("orders"), F.sum("v").alias("cents"))
 
 
-@query()
+@query("SELECT CASE i % 3 WHEN 0 THEN 'ACCELEROMETER' WHEN 1 THEN 'LOAD CELL' ELSE 'DISPLACEMENT' END AS sensor_type, count(*) AS n FROM range(1, 635) t(i) GROUP BY 1")
 def channel_volume(spark, d):
     """Synthetic channels; nothing of the tables."""
     from ..sources.files import channels
