@@ -362,4 +362,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+#: All pairs that share a shingle, counted exactly, and every document's reach along the links.
+ORACLES = {
+    "op5_minhash": r"""
+        WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS ws FROM documents),
+             s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh FROM w),
+             n AS MATERIALIZED (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+             e AS MATERIALIZED (SELECT doc_id, hash(unnest(sh)) AS h FROM s),
+             p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+             l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+             r(d, o) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.d, CASE WHEN l.x = r.o THEN l.y ELSE l.x END FROM r JOIN l ON l.x = r.o OR l.y = r.o),
+             k AS (SELECT d, min(o) AS m FROM r GROUP BY 1)
+        SELECT doc_id, n AS n_shingles, m AS component_id, m = doc_id AS kept FROM n JOIN k ON d = doc_id""",
+}
 QUERIES = {"op5_minhash": op5_minhash}
