@@ -3,17 +3,20 @@
 import os
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers as tokenizers
+import pytest
 from impactlake.llm import language, neardup, toxicity
 
 from .test_operators import brute_components
 
 SF = "/root/testdata/sf0.001"
 
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+
 
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    if not os.path.isdir(SF):
-        return
     scored = toxicity.score(docs, toxicity.fit_tables(docs, spark.read.parquet(f"{SF}/labels.parquet"))).toPandas()
     one = toxicity.stage(spark, docs, SF)
     assert one.columns == docs.columns and {x["doc_id"] for x in one.collect()} == set(scored[scored.score < 0.7].doc_id)
@@ -25,8 +28,22 @@ def test_stages(spark):
     assert three.columns == docs.columns and {x["doc_id"] for x in three.collect()} == {d for d, (_, c) in want.items() if c == d}
 
 
-def test_run(spark):
+def test_run_equals_one_decision_after_another(spark):
+    """Scores and languages by the models, near-duplicates by all pairs, ids by the tokenizer, one document at a time."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scored = toxicity.score(docs, toxicity.fit_tables(docs, spark.read.parquet(f"{SF}/labels.parquet"))).toPandas()
+    clean = docs.where(docs.doc_id.isin(scored[scored.score < 0.7].doc_id.tolist()))
+    found = language.predict(clean, language.fit_tables(clean)).toPandas()
+    known = [(d, t) for d, t, p in found[["doc_id", "text", "lang_pred"]].itertuples(index=False) if p != "und"]
+    kept = {d for d, (_, c) in brute_components(known, 5).items() if c == d}
+    texts = {d: t or "" for d, t in known if d in kept}
+    assert len(kept) > 100
     out = corpus_pipeline.run(spark, SF).toPandas()
-    kept = corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
-    assert set(out.doc_id) <= {x["doc_id"] for x in kept.collect()} and len(out) > 100
-    assert (out.groupby("sequence_id")["length"].sum() <= 1024).all()
+    assert set(out.doc_id) == kept
+    tok = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    sizes = {d: len(tok.encode(t, add_special_tokens=False).ids) + 1 for d, t in texts.items()}
+    assert out.groupby("doc_id")["length"].sum().to_dict() == sizes
+    used = out.groupby("sequence_id")["length"].sum().to_numpy()
+    assert (used <= 1024).all() and (np.bitwise_and(used, used - 1) == 0).all()
