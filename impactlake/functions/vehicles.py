@@ -72,14 +72,14 @@ def model_name_score(db: Column, api: Column, make: Column) -> Column:
     """How well a model's name in one list fits the name in another; 0 if it does not."""
     a, b = alnum(db), alnum(api)
     bare = F.regexp_replace(b, F.concat(F.lit("^"), alnum(make)), F.lit(""))
-    x = F.array_distinct(F.split(squash(F.upper(db)), "[ -]"))
-    y = F.array_distinct(F.split(squash(F.upper(api)), "[ -]"))
-    subset = (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
+    x, y = (F.array_distinct(F.filter(F.split(F.upper(c), "[^A-Z0-9]+"), lambda w: F.length(w) > 1)) for c in (db, api))
+    common = F.size(F.array_intersect(x, y))
     return (
         F.when((a == "") | (b == ""), 0)
-        .when(a == b, 100)
+        .when((a == b) | (a == bare), 100)
         .when(a.startswith(b) & (F.length(b) >= 4), 86)
         .when((b.startswith(a) & (F.length(a) >= 4)) | (bare.startswith(a) & (F.length(a) >= 2)), 76)
-        .when(subset, F.when(F.size(F.array_except(x, y)) == 0, 76).otherwise(70))
+        .when((common > 0) & (common == F.size(x)), 70)
+        .when((common > 0) & (common == F.size(y)), 76)
         .otherwise(0)
     )

@@ -82,7 +82,7 @@ def test_vehicles(spark):
     assert set(got[0]) == {"4wd", "pickup", "crew_cab"} and set(got[1]) == {"awd", "sedan", "early"}
     both = spark.range(1).select(vehicles.contradictions(F.array(F.lit("awd"), F.lit("suv")), F.array(F.lit("fwd"), F.lit("suv")))).first()[0]
     assert both == ["drive"]
-    pairs = [("F-150", "F150", 100), ("F150 SUPERCREW", "F150", 86), ("RX", "RX350", 0), ("GRAND CHEROKEE", "CHEROKEE GRAND L", 76), ("X", "Y", 0)]
+    pairs = [("F-150", "F150", 100), ("F150 SUPERCREW", "F150", 86), ("F150", "FORD F-150", 100), ("RX", "RX350", 76), ("GRAND CHEROKEE", "CHEROKEE GRAND L", 70), ("FOCUS SE WAGON", "WAGON FOCUS", 76), ("X", "X Y", 0), ("X", "Y", 0)]
     for a, b, want in pairs:
         assert spark.createDataFrame([(a, b)], "a string, b string").select(vehicles.model_name_score(F.col("a"), F.col("b"), F.lit("FORD"))).first()[0] == want, (a, b)
 
