@@ -6,11 +6,15 @@ log2((total + distinct) / distinct) bits and the next shorter context is asked (
 down to all 256 bytes alike.  The counts are frozen after learning, so the exact cost of every
 byte after every context is worked out once and laid in hash tables with one column a language;
 scoring a text looks up all its positions at once and adds the bits.  The language with the
-shortest code wins, ties by name.
+shortest code wins, ties by name, unless even its code is too long: text in no learnt language.
+How long is told by the learnt languages' own texts: counts of one half of them are the model that
+costs the other half, and a bound is SLACK times the median cost a byte of a language's texts.  It
+is never below 4 bits (half of what the byte takes) nor above 8, the cost without any model; what a
+text has more than its bound must also exceed SPARE bits, for texts of a few letters.
 
 Learning uses at most `sample` documents a language (a documented bound): those of least hash;
-documents without lang, doc_id or text are not learnt from.  Texts that are null or have no letter get
-`und` and score 0; without any learnt language every text does.  Scores are the posterior of the
+documents without lang, doc_id or text are not learnt from.  Texts that are null, have no letter or
+cost more than the bound get `und` and score 0; without any learnt language every text does.  Scores are the posterior of the
 winner under equal priors.  Repeated rows get equal results; other columns pass through unless
 they bear the name of an added one.
 """
@@ -18,7 +22,7 @@ they bear the name of an added one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,7 @@ ORDER = 4
 BATCH_BYTES = 1 << 19
 PAD = b"\n" * ORDER
 SLOTS = 1 << 52  # hash values a share of the documents is cut from, fine enough for any table
+SLACK, LEAST, MOST, SPARE = 2.25, 4.0, 8.0, 16.0
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -78,6 +83,7 @@ class Model:
     langs: list[str]
     grams: list[tuple[Table, np.ndarray]]  # by order n = 0..ORDER: n bytes of context and a symbol -> bits a language
     escapes: list[tuple[Table, np.ndarray]]  # by order: n bytes of context -> bits of its escape, 0 where a language lacks it
+    bounds: np.ndarray = field(default_factory=lambda: np.zeros(0))  # bits a byte by language: what costs more is in none
 
 
 def packed(data: np.ndarray) -> list[np.ndarray]:
@@ -131,7 +137,7 @@ def build(counts: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Model:
             bits[pos, j] = np.log2((total + distinct)[own] / times)
         grams.append((Table(every), bits))
         escapes.append((Table(contexts), escape))
-    return Model(langs, grams, escapes)
+    return Model(langs, grams, escapes, np.full(len(langs), MOST))
 
 
 def lengths(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -172,6 +178,31 @@ def lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def rates(bits: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Bits a byte of the winner, after SPARE bits; texts: none empty."""
+    return np.maximum(bits.min(axis=1) - SPARE, 0) / np.array([len(t) for t in texts])
+
+
+def own_costs(docs: DataFrame, model: Model) -> dict[str, float]:
+    """The median cost a byte, by language, of distinct texts that the model takes for what `lang` says."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            rows = [(x, t.encode()) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if LETTER.search(t)]
+            if rows:
+                texts = [t for _, t in rows]
+                bits = lengths(m, texts)
+                got = [(x, r) for (x, _), b, r in zip(rows, bits.argmin(axis=1).tolist(), rates(bits, texts).tolist()) if m.langs[b] == x]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([r for _, r in got], pa.float64())], names=["lang", "rate"])
+
+    # copies of a text would pass for many
+    out = dict(docs.select("lang", "text").distinct().mapInArrow(run, "lang string, rate double").groupBy("lang").agg(F.median("rate")).collect())
+    shared.destroy()
+    return out
+
+
 def fit(docs: DataFrame, sample: int = 1000) -> Model:
     """docs: doc_id, text, lang of training rows.  At most about `sample` documents a language are learnt from."""
     ship(docs.sparkSession)
@@ -181,30 +212,41 @@ def fit(docs: DataFrame, sample: int = 1000) -> Model:
         return Model([], [], [])
     share = {k: min(1.0, sample / v) for k, v in sizes.items()}
     below = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(v * SLOTS))) for k, v in share.items()])
-    chosen = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) < below).select("lang", "text")
+    chosen = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) < below).select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[bytes]] = {}
+        seen: dict[tuple[str, int], list[bytes]] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen.setdefault(lang, []).append(text.encode())
-        for lang, texts in seen.items():
+            for lang, text, half in zip(*(x.to_pylist() for x in batch.columns)):
+                seen.setdefault((lang, half), []).append(text.encode())
+        for (lang, half), texts in seen.items():
             for n, (k, c) in enumerate(count(texts)):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(np.full(len(k), n), pa.int32()), pa.array(k.view(np.int64)), pa.array(c, pa.int64())], names=["lang", "n", "gram", "c"])
+                c0 = c if half == 0 else np.zeros(len(c), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(np.full(len(k), n), pa.int32()), pa.array(k.view(np.int64)), pa.array(c, pa.int64()), pa.array(c0, pa.int64())], names=["lang", "n", "gram", "c", "c0"])
 
-    rows = chosen.mapInArrow(partial, "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    rows = chosen.mapInArrow(partial, "lang string, n int, gram long, c long, c0 long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"), F.sum("c0").alias("c0"))
     table = rows.orderBy("lang", "n", "gram").toArrow()  # bounded by the sample
     lang, n = np.array(table.column("lang").to_pylist(), object), table.column("n").to_numpy()
-    gram, c = table.column("gram").to_numpy().view(np.uint64), table.column("c").to_numpy().astype(float)
-    counts = {}
-    for x in set(lang.tolist()):
-        own = lang == x
-        counts[x] = [(gram[own & (n == k)], c[own & (n == k)]) for k in range(ORDER + 1)]
-    return build(counts)
+    gram = table.column("gram").to_numpy().view(np.uint64)
+
+    def counts(c: np.ndarray) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
+        out = {}
+        for x in set(lang[c > 0].tolist()):
+            own = (lang == x) & (c > 0)
+            out[x] = [(gram[own & (n == k)], c[own & (n == k)]) for k in range(ORDER + 1)]
+        return out
+
+    every, half = counts(table.column("c").to_numpy().astype(float)), counts(table.column("c0").to_numpy().astype(float))
+    if not every:
+        return Model([], [], [])
+    costs = own_costs(chosen.where("half = 1"), build(half)) if half else {}
+    model = build(every)
+    model.bounds = np.array([np.clip(SLACK * costs.get(x, MOST), LEAST, MOST) for x in model.langs])
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Adds the language of every whole text and the winner's posterior."""
+    """Adds the language of every whole text (`und` for none that was learnt) and the winner's posterior."""
     keep = extra_columns(docs, {lang, score})
     kept = docs.select(*keep)
     at = keep.index(text)
@@ -217,11 +259,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
             lettered = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if m.langs else []
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             if lettered:
-                bits = lengths(m, [texts[i].encode() for i in lettered])
+                coded = [texts[i].encode() for i in lettered]
+                bits = lengths(m, coded)
                 best = bits.argmin(axis=1)
+                known = rates(bits, coded) <= m.bounds[best]
                 post = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
-                for i, b, p in zip(lettered, best.tolist(), post.tolist()):
-                    langs[i], scores[i] = m.langs[b], min(1.0, p)
+                for i, b, p, k in zip(lettered, best.tolist(), post.tolist(), known.tolist()):
+                    if k:
+                        langs[i], scores[i] = m.langs[b], min(1.0, p)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, lang, score])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))
@@ -244,8 +289,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learnt; those without any letter (`und`) go."""
+    """Documents in a language that was learnt; those without any letter and those in no learnt language (`und`) go.
+
+    Where no language was learnt there is nothing to judge by, and every document stays."""
     model = fit_tables(docs)
+    if not model.langs:
+        return docs
     return predict(docs, model, lang="_lang_pred", score="_lang_score").where(F.col("_lang_pred") != "und").select(*docs.columns)
 
 

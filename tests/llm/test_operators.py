@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import string
 import zlib
 
 import numpy as np
@@ -284,6 +285,21 @@ def test_language_sample_is_fine_grained(spark):
     assert language.SLOTS / 10**12 > 1000
 
 
+def test_language_stage_drops_what_is_in_no_learnt_language(spark):
+    r = random.Random(5)
+    vocab = {"xx": ["ba", "bo", "bi", "bu"], "yy": ["ka", "ko", "ki", "ku"]}
+    say = lambda parts, n: " ".join("".join(r.choice(parts) for _ in range(3)) for _ in range(n))
+    rows = [(i, say(vocab[x], 30), x, "s", 1, "x", 1) for i in range(200) for x in [["xx", "yy"][i % 2]]]
+    rows += [(200, say(vocab["xx"], 3000), None, "s", 1, "x", 1), (201, "bobaba", None, "s", 1, "x", 1)]
+    junk = [r.randbytes(300).hex(), "".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(400)), say(["мо", "ша", "ли"], 40), say(["weth", "son", "ermp"], 40)]
+    rows += [(300 + i, t, None, "s", 1, "x", 1) for i, t in enumerate(junk)]
+    d = spark.createDataFrame(rows, DOCS)
+    assert {x["doc_id"] for x in language.stage(spark, d, "").collect()} == set(range(202))
+    assert language.predict(d.where("doc_id >= 300"), language.fit_tables(d)).where("lang_pred = 'und' and score = 0").count() == 4
+    unlabelled = d.withColumn("lang", F.lit(None).cast("string"))
+    assert language.stage(spark, unlabelled, "").count() == len(rows)
+
+
 def test_ppm_costs_equal_a_walk_down_the_contexts():
     texts = {"a": [b"abracadabra", b"abba"], "b": [b"banana", b"cabana"]}
     model = language.build({k: [(g, c.astype(float)) for g, c in language.count(v)] for k, v in texts.items()})
