@@ -47,3 +47,12 @@ def test_run_equals_one_decision_after_another(spark):
     assert out.groupby("doc_id")["length"].sum().to_dict() == sizes
     used = out.groupby("sequence_id")["length"].sum().to_numpy()
     assert (used <= 1024).all() and (np.bitwise_and(used, used - 1) == 0).all()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_toxicity_spares_clean_held_out_documents(spark):
+    """A fit on fewer n-grams and steps rejects 4 of these 95."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    clean = labels.where("toxic = 0").where(toxicity.held_out()).select("doc_id").distinct()
+    p = toxicity.score(docs.join(clean, "doc_id"), toxicity.fit_tables(docs, labels)).toPandas()
+    assert len(p) > 90 and (p.score >= 0.7).sum() <= 1
