@@ -382,16 +382,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
     folder = scratch(spark)
     as_records(read(spark, sf_dir, "pages")).write.format("warc").mode("append").save(folder)
-    back = spark.read.format("warc").load(folder)
-
-    whole = F.col("payload").isNotNull()
-    return back.select(
+    # the record type is pushed down: each read skips the other's members, and revisits need their headers only
+    whole = spark.read.format("warc").load(folder).where("record_type = 'response'")
+    again = spark.read.format("warc").option("payload", "false").load(folder).where("record_type = 'revisit'")
+    return whole.select(
         "page_id",
-        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(whole, _base32(F.sha1("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        _base32(F.sha1("payload")).alias("payload_digest"),
         "record_type",
         "refers_to",
-    )
+    ).unionByName(again.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 def _base32(hexed):

@@ -491,6 +491,20 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
     assert spark.read.format("warc").load(f"{tmp_path}/none").count() == 0
 
 
+def test_warc_query_reads_each_record_type_by_pushdown(spark, tmp_path):
+    pages = [(i, f"http://x/{i}", f"<p>{i % 7}</p>" if i % 3 else None if i % 2 else f"<p>{i}</p>") for i in range(60)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = warc.op10_warc(spark, str(tmp_path))
+    assert out._jdf.queryExecution().executedPlan().toString().count("BatchScan") == 2
+    got = {x["page_id"]: x for x in out.collect()}
+    assert len(got) == out.count() == 60
+    for i, _, h in pages:
+        body = (h or "").encode()
+        assert got[i]["payload_bytes"] == len(body) and got[i]["payload_digest"] == base64.b32encode(hashlib.sha1(body).digest()).decode()
+        last = max(j for j, _, x in pages if (x or "") == (h or ""))
+        assert (got[i]["record_type"], got[i]["refers_to"]) == (("response", None) if i == last else ("revisit", last))
+
+
 def test_warc_reads_plain_and_foreign_members(tmp_path):
     import gzip
 
