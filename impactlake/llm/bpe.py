@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import extra_columns, read
+from ._common import extra_columns, read, slices, tidy
 
 L, N, S, O = 0, 1, 2, 3
 W, X, A, T2 = 0, 1, 2, 3  # states: match may start here; it may not; after an opening '; one suffix letter left
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 BATCH_CHARS = 1 << 21
-CACHE_WORDS = 300_000
+CACHE_BYTES = 12 << 20  # of a generation of the cache, counted with about what Python adds to an entry
 
 
 @functools.cache
@@ -47,9 +47,10 @@ def class_table() -> np.ndarray:
     of = {"L": L, "N": N}
     table = np.fromiter((of.get(unicodedata.category(chr(c))[0], O) for c in range(0x110000)), np.uint8, 0x110000)
     newer = np.full(0x110000, O, np.uint8)
-    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
-    for kind, pattern in ((L, r"\p{L}"), (N, r"\p{N}")):
-        newer[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
+    for lo in range(0, 0x110000, 0x1000):  # piece by piece, for little memory
+        every = "".join(map(chr, (c for c in range(lo, lo + 0x1000) if not 0xD800 <= c < 0xE000)))
+        for kind, pattern in ((L, r"\P{L}+"), (N, r"\P{N}+")):
+            newer[np.frombuffer(regex.sub(pattern, "", every).encode("utf-32-le"), np.uint32)] = kind
     # a probe of two letters, or two digits, is one piece exactly if the pattern takes the code point for one
     glue = {bytes([i]): i for i in range(256)} | {bytes([x, i]): 256 + 256 * k + i for k, x in enumerate(b"a1") for i in range(256)}
     probe = tiktoken.Encoding("probe", pat_str=r"\p{L}+|\p{N}+|[^\p{L}\p{N}]", mergeable_ranks=glue, special_tokens={})
@@ -226,20 +227,21 @@ class Encoder:
 
 
 class _Cache(dict):
-    """Ids by pre-token, two generations of at most CACHE_WORDS, so memory is bounded."""
+    """Ids by pre-token, two generations of at most CACHE_BYTES, so memory is bounded."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder, self.old = encoder, {}
+        self.encoder, self.old, self.size = encoder, {}, 0
 
     def __missing__(self, word: bytes) -> bytes:
         got = self.old.get(word)
         if got is None:
             got = np.array(self.encoder.merge(word), "<u4").tobytes()
         if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.old = dict(self)
+            if self.size >= CACHE_BYTES:
+                self.old, self.size = dict(self), 0
                 self.clear()
+            self.size += 180 + len(word) + len(got)
             self[word] = got
         return got
 
@@ -282,14 +284,12 @@ def encode(df: DataFrame, ranks: str, text: str = "text", with_offsets: bool = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                ids, offsets = enc.encode_batch([t or "" for t in part.column(at).to_pylist()])
-                more = [pa.array(ids, pa.binary())] + ([pa.array([o.astype("<i8").tobytes() for o in offsets], pa.binary())] if with_offsets else [])
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*keep, "ids", *(["offsets"] if with_offsets else [])])
+        for part in slices(batches, at):
+            ids, offsets = enc.encode_batch([t or "" for t in part.column(at).to_pylist()])
+            more = [pa.array(ids, pa.binary())] + ([pa.array([o.astype("<i8").tobytes() for o in offsets], pa.binary())] if with_offsets else [])
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*keep, "ids", *(["offsets"] if with_offsets else [])])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -301,13 +301,11 @@ def decode(df: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = _pieces(ranks).__getitem__
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                got = [b"".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], names=[*keep, out])
+        for part in slices(batches, at):
+            got = [b"".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], names=[*keep, out])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

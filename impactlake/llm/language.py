@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
-from ._common import extra_columns, read
+from ._common import extra_columns, fresh, read, ship, slices, tidy
 
 ORDER = 4
 BATCH_BYTES = 1 << 19
@@ -189,7 +188,7 @@ def own_costs(docs: DataFrame, model: Model) -> dict[str, float]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = [(x, t.encode()) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if LETTER.search(t)]
             if rows:
                 texts = [t for _, t in rows]
@@ -198,7 +197,7 @@ def own_costs(docs: DataFrame, model: Model) -> dict[str, float]:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([r for _, r in got], pa.float64())], names=["lang", "rate"])
 
     # copies of a text would pass for many
-    out = dict(docs.select("lang", "text").distinct().mapInArrow(run, "lang string, rate double").groupBy("lang").agg(F.median("rate")).collect())
+    out = dict(docs.select("lang", "text").distinct().mapInArrow(tidy(run), "lang string, rate double").groupBy("lang").agg(F.median("rate")).collect())
     shared.destroy()
     return out
 
@@ -224,7 +223,7 @@ def fit(docs: DataFrame, sample: int = 1000) -> Model:
                 c0 = c if half == 0 else np.zeros(len(c), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(np.full(len(k), n), pa.int32()), pa.array(k.view(np.int64)), pa.array(c, pa.int64()), pa.array(c0, pa.int64())], names=["lang", "n", "gram", "c", "c0"])
 
-    rows = chosen.mapInArrow(partial, "lang string, n int, gram long, c long, c0 long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"), F.sum("c0").alias("c0"))
+    rows = chosen.mapInArrow(tidy(partial), "lang string, n int, gram long, c long, c0 long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"), F.sum("c0").alias("c0"))
     table = rows.orderBy("lang", "n", "gram").toArrow()  # bounded by the sample
     lang, n = np.array(table.column("lang").to_pylist(), object), table.column("n").to_numpy()
     gram = table.column("gram").to_numpy().view(np.uint64)
@@ -254,7 +253,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches, at):
             texts = batch.column(at).to_pylist()
             lettered = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if m.langs else []
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -269,7 +268,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
                         langs[i], scores[i] = m.langs[b], min(1.0, p)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, lang, score])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return kept.mapInArrow(tidy(run), T.StructType([*kept.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -295,7 +294,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_tables(docs)
     if not model.langs:
         return docs
-    return predict(docs, model, lang="_lang_pred", score="_lang_score").where(F.col("_lang_pred") != "und").select(*docs.columns)
+    lang, own = fresh(docs, "_lang_pred", "_lang_score")
+    return predict(docs, model, lang=lang, score=own).where(F.col(lang) != "und").select(*docs.columns)
 
 
 QUERIES = {"op9_language": op9_language}

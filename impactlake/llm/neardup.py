@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop, read, written
+from ._common import drop, read, slices, tidy, written
 
 BANDS, ROWS = 48, 6
 MINIMA = BANDS * ROWS
@@ -54,9 +54,9 @@ def _constants() -> tuple[np.ndarray, ...]:
     return a, b, letters, mixers
 
 
-@functools.cache
+@functools.lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and P^-i modulo 2^64 for i < n."""
+    """P^i and P^-i modulo 2^64 for i < n; one size is kept."""
     up, down = np.full(n, P, np.uint64), np.full(n, pow(P, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -103,9 +103,9 @@ def band_values(least: np.ndarray) -> np.ndarray:
 
 def _features(docs: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, digests, bands = batch.column(0), [], [], []
-            for text in batch.column(1).to_pylist():
+        for part in slices(batches, 1):
+            ids, sizes, digests, bands = part.column(0), [], [], []
+            for text in part.column(1).to_pylist():
                 keys = shingles(text, rule.words)
                 sizes.append(len(keys))
                 digests.append(_digest(keys) if len(keys) else None)
@@ -113,7 +113,7 @@ def _features(docs: DataFrame, rule: Rule) -> DataFrame:
             flat = pa.ListArray.from_arrays(np.cumsum([0, *(BANDS if x is not None else 0 for x in bands)]).astype(np.int32), pa.array(np.concatenate([x for x in bands if x is not None] or [np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), flat], names=["doc_id", "n_shingles", "digest", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def _digest(keys: np.ndarray) -> bytes:
@@ -126,14 +126,12 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
     """Id, signature (a byte of each minimum) and full set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                keys = [shingles(t, rule.words) for t in part.column(1).to_pylist()]
-                signs = [_signature(k) for k in keys]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signs, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())], names=["doc", "sig", "set"])
+        for part in slices(batches, 1):
+            keys = [shingles(t, rule.words) for t in part.column(1).to_pylist()]
+            signs = [_signature(k) for k in keys]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signs, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())], names=["doc", "sig", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, sig binary, set binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc long, sig binary, set binary")
 
 
 def _signature(keys: np.ndarray) -> bytes:
@@ -154,9 +152,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= low))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in slices(batches, 2):
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                 n, m = len(x) // 8, len(y) // 8
                 if 100 * min(n, m) < percent * max(n, m):
                     keep.append(False)
@@ -165,14 +163,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (n + m - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def both_sides(p: DataFrame, what: str) -> DataFrame:
         one = sets.select("doc", what)
         return p.join(one.select(F.col("doc").alias("a"), F.col(what).alias("x")), "a").join(one.select(F.col("doc").alias("b"), F.col(what).alias("y")), "b").select("a", "b", "x", "y")
 
-    near = both_sides(pairs, "sig").mapInArrow(alike, "a long, b long")
-    return written(both_sides(near, "set").mapInArrow(linked, "a long, b long"))
+    near = both_sides(pairs, "sig").mapInArrow(tidy(alike), "a long, b long")
+    return written(both_sides(near, "set").mapInArrow(tidy(linked), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:

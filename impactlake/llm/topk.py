@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
-from ._common import read, scratch
+
+from ._common import read, scratch, ship, tidy
 
 DEPTHS = (8, 24)  # turned coordinates after which pairs are pruned
 SLICE, CHUNK, BUFFER = 1024, 256, 1 << 15

@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
-from ._common import extra_columns, read, written
+from ._common import drop, extra_columns, fresh, read, ship, slices, tidy, written
 
 BITS = 22
 SIZES = (3, 4, 5, 6)
@@ -108,13 +107,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, z: float = 3.0,
     chosen = pick(0).unionByName(pick(1))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = presence(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g.tobytes() for g in got], pa.binary())], names=["toxic", "grams"])
+        for part in slices(batches, 1):
+            got = presence(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in got], pa.binary())], names=["toxic", "grams"])
 
     # at most 2 x sample rows of two numbers: safe to broadcast
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    rows = written(joined.mapInArrow(features, "toxic int, grams binary").distinct())  # copies of a text would pass for evidence
+    rows = written(joined.mapInArrow(tidy(features), "toxic int, grams binary").distinct())  # copies of a text would pass for evidence
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), np.int32)
@@ -127,13 +126,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, z: float = 3.0,
     sizes = dict(rows.groupBy("toxic").count().collect())
     total0, total1 = sizes.get(0, 0), sizes.get(1, 0)
     if not total0 or not total1:
+        drop(rows)
         share = (total1 + 0.5) / (total0 + total1 + 1)
         return Model(np.zeros(0, np.int32), np.zeros(0), float(np.log(share / (1 - share))))
     n0, n1 = F.col("n0") + 1.0, F.col("n1") + 1.0
     ratio = F.log(n1 / F.lit(total1 + 2.0)) - F.log(n0 / F.lit(total0 + 2.0))
     # grams that stand out from chance: a function of the bounded sample, a few thousand
     stand_out = (
-        rows.mapInArrow(count, "gram long, n0 long, n1 long")
+        rows.mapInArrow(tidy(count), "gram long, n0 long, n1 long")
         .groupBy("gram")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         .select("gram", ratio.alias("ratio"))
@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, z: float = 3.0,
             got = [np.flatnonzero(np.isin(chosen_grams, np.frombuffer(g, np.int32), assume_unique=True)).astype(np.int32).tobytes() for g in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["toxic", "grams"])
 
-    small = rows.mapInArrow(narrow, "toxic int, grams binary").collect()  # at most 2 x sample short rows
+    small = rows.mapInArrow(tidy(narrow), "toxic int, grams binary").collect()  # at most 2 x sample short rows
+    drop(rows)
     small.sort(key=lambda r: (r["toxic"], bytes(r["grams"])))
     y = np.array([r["toxic"] for r in small], float)
     w, bias = _fit([np.frombuffer(r["grams"], np.int32).astype(np.int64) for r in small], y, ratios, l2, steps)
@@ -167,14 +168,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
         m = shared.value
         wanted = np.zeros(1 << BITS, bool)
         wanted[m.features] = True
-        weight = np.zeros(1 << BITS, np.float32)
-        weight[m.features] = m.weights
-        for batch in batches:
-            z = [m.bias + float(weight[g].sum(dtype=np.float64)) for g in presence(batch.column(at).to_pylist(), wanted)]
+        for part in slices(batches, at):
+            z = [m.bias + float(m.weights[np.searchsorted(m.features, g)].sum()) for g in presence(part.column(at).to_pylist(), wanted)]
             p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -700, 700)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names=[*keep, out])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.DoubleType())]))
+    return kept.mapInArrow(tidy(run), T.StructType([*kept.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -196,8 +195,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
     """Documents below the threshold, with their own columns."""
     model = fit_tables(docs, read(spark, sf_dir, "labels"))
-    # only id and text pass through Python needlessly; the row goes along so that no join is needed
-    return score(docs, model, out="_toxicity").where(F.col("_toxicity") < threshold).select(*docs.columns)
+    (own,) = fresh(docs, "_toxicity")
+    # the whole row goes along so that no join is needed
+    return score(docs, model, out=own).where(F.col(own) < threshold).select(*docs.columns)
 
 
 QUERIES = {"op8_toxicity": op8_toxicity}

@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..session import ship
-from ._common import read, scratch
+
+from ._common import read, scratch, ship, tidy
 
 SCHEMA = "record_type string, page_id long, url string, refers_to long, payload_digest string, payload_bytes long, record_id string, date string, payload binary"
 CRLF = b"\r\n"
