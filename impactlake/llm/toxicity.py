@@ -78,28 +78,50 @@ def presence(texts: list[str | None], wanted: np.ndarray | None = None) -> list[
 
 
 def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float, steps: int, share1: float = 0.65) -> tuple[np.ndarray, float]:
-    """Logistic regression on presence x ratio by accelerated gradient descent; label 1 has share1 of all weight."""
+    """Logistic regression on presence x ratio to its optimum by L-BFGS; label 1 has share1 of all weight."""
     lengths = np.array([len(r) for r in rows])
     col = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), lengths)
-    x = ratio[col]
+    by_col = np.repeat(np.arange(len(rows)), lengths)[np.argsort(col, kind="stable")]
     weight = np.where(y == 1, share1 / max(1, (y == 1).sum()), (1 - share1) / max(1, (y == 0).sum()))
-    w, b = np.zeros(len(ratio)), 0.0
-    top = float(np.max(np.bincount(row, x * x, len(rows)), initial=1.0)) + 1
-    rate = 4.0 / top
-    v, vb, t = w.copy(), b, 1.0
-    for _ in range(steps):
-        z = np.bincount(row, v[col] * x, len(rows)) + vb
-        g = weight * (1 / (1 + np.exp(-z)) - y)
-        new = v - rate * (np.bincount(col, g[row] * x, len(ratio)) + l2 * v)
-        new_b = vb - rate * g.sum()
-        grown = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, vb = new + (t - 1) / grown * (new - w), new_b + (t - 1) / grown * (new_b - b)
-        w, b, t = new, new_b, grown
-    return w, float(b)
 
+    def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        out, has = np.zeros(len(lengths)), lengths > 0
+        if has.any():
+            out[has] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[has])
+        return out
+
+    often = np.bincount(col, minlength=len(ratio))
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, z: float = 3.0, l2: float = 3e-5, steps: int = 2000) -> Model:
+    def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
+        v = p[:-1]
+        z = sums((v * ratio)[col], lengths) + p[-1]
+        g = weight * (1 / (1 + np.exp(-np.clip(z, -700, 700))) - y)
+        return float(weight @ (np.logaddexp(0, z) - y * z) + 0.5 * l2 * (v @ v)), np.append(sums(g[by_col], often) * ratio + l2 * v, g.sum())
+
+    p = np.zeros(len(ratio) + 1)
+    now, grad = loss(p)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        if np.abs(grad).max() < 1e-7:
+            break
+        d, scales = -grad, []
+        for s, t, r in reversed(past):
+            scales.append(r * (s @ d))
+            d = d - scales[-1] * t
+        d = d / (past[-1][2] * (past[-1][1] @ past[-1][1])) if past else d / np.abs(grad).sum()
+        for s, t, r in past:
+            d = d + (scales.pop() - r * (t @ d)) * s
+        slope, step = grad @ d, 1.0
+        while (new := loss(p + step * d))[0] > now + 1e-4 * step * slope and step > 1e-8:
+            step /= 2
+        s, t = step * d, new[1] - grad
+        if s @ t > 1e-12:
+            past = [*past[-9:], (s, t, 1 / (s @ t))]
+        p, (now, grad) = p + s, new
+    return p[:-1], float(p[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, z: float = 3.0, l2: float = 4e-4, steps: int = 400) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic, training rows only.  At most `sample` labelled rows of each class are used."""
     ship(docs.sparkSession)
     clean = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
