@@ -7,6 +7,8 @@ it compares with its siblings.  Gradient-boosted trees, trained here on generate
 parts are known, give the chance that an element belongs to the article.  A dynamic program over the tree
 then takes the most likely labels under one rule: nothing is kept inside an element that is dropped.
 The kept text is given block by block: white space becomes one blank, blocks are joined by line feeds.
+Text that stands in no element of its own (bare in the body, or in no element at all) is judged run by run; so are formulas,
+drawings and what stands in for media.  A head that is left open ends where something stands that no head holds.
 
 A null page counts as empty and gives an empty text, as does a page without an article.  Pages of any
 length are handled whole.  Rows that repeat give equal results; an empty table gives no rows; other
@@ -33,13 +35,16 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^
 ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes", "template"}
 GONE = {"button", "select", "option", "optgroup", "datalist", "head"}
+OWN = {"math", "svg", "object", "canvas", "audio", "video", "noscript"}  # in the line, but elements of their own: formulas, drawings, what stands in for media
+HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}  # anything else ends an open head
+LOOSE = {"#", "html", "body"}  # a run of text that stands in these is an element of its own, "#text"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "legend", "head"}
 ENDS_P = BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "table", "td", "blockquote", "pre", "figure", "nav", "header", "footer", "aside", "form", "dl", "a", "span", "body")
+TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "table", "td", "blockquote", "pre", "figure", "nav", "header", "footer", "aside", "form", "dl", "a", "span", "body", "#text", "math", "svg", "object", "noscript", "video")
 GOOD = {"article", "content", "post", "entry", "main", "body", "story", "text", "blog", "page", "prose", "column", "lead", "paragraph"}
 BAD = {
     "menu": {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "toolbar", "tabs"},
@@ -69,11 +74,17 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#", 0)]  # tag, the element that text goes to
-        links = gone = 0
+        links = gone = run = 0
         at, n = 0, len(source)
         flow = self.flow
         lower = None
 
+        def part() -> None:
+            """A block ends or begins."""
+            nonlocal run
+            flow.append(None)
+            run = 0
+
         def pop(to: int) -> None:
             nonlocal links, gone
             while len(stack) > to:
@@ -81,12 +92,20 @@ class Page:
                 links -= tag == "a"
                 gone -= tag in GONE
                 if tag in BLOCK:
-                    flow.append(None)
+                    part()
 
         def text(s: str) -> None:
-            if gone or not s:
+            nonlocal run
+            if not s:
+                return
+            if stack[-1][0] == "head" and not s.isspace():
+                pop(len(stack) - 1)
+            if gone:
                 return
-            flow.append((stack[-1][1], links, markup.unescape(s) if "&" in s else s))
+            own = stack[-1][1]
+            if self.tag[own] in LOOSE and (run or not s.isspace()):
+                run = own = run or self._open("#text", "", own)
+            flow.append((own, links, markup.unescape(s) if "&" in s else s))
 
         while at < n:
             m = TOKEN.search(source, at)
@@ -109,9 +128,11 @@ class Page:
                         break
                 else:
                     if tag in BLOCK:
-                        flow.append(None)
+                        part()
                 continue
             attrs = m[3] or m[6] or ""
+            if stack[-1][0] == "head" and tag not in HEAD:
+                pop(len(stack) - 1)
             if tag in ENDS_P:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == "p":
@@ -128,13 +149,11 @@ class Page:
                         pop(i)
                         if tag not in ("tr", "option"):
                             break
-            if tag == "body" and stack[-1][0] == "head":
-                pop(len(stack) - 1)
             if tag in BLOCK:
-                flow.append(None)
+                part()
+            if tag in OWN and attrs.endswith("/"):
+                continue
             if tag in RAW:
-                if attrs.endswith("/") and tag in ("svg", "math"):
-                    continue
                 if lower is None:
                     lower = source.lower() if len(source.lower()) == n else source
                 end = lower.find(f"</{tag}", at)
@@ -149,7 +168,7 @@ class Page:
             if tag in GONE:
                 gone += 1
             own = stack[-1][1]
-            if tag in BLOCK or attrs and ("class" in attrs or "id=" in attrs or "role" in attrs or "hidden" in attrs):
+            if tag in BLOCK or tag in OWN or attrs and ("class" in attrs or "id=" in attrs or "role" in attrs or "hidden" in attrs):
                 own = self._open(tag, attrs, own)
             stack.append((tag, own))
         pop(1)
@@ -324,7 +343,7 @@ def assemble(page: Page, label: np.ndarray) -> str:
             if block and (s := " ".join("".join(block).split())):
                 out.append(s)
             block = []
-        elif piece[0] and label[piece[0]]:
+        elif label[piece[0]]:
             block.append(piece[2])
     return "\n".join(out)
 
@@ -393,8 +412,18 @@ class _Maker:
                 out.append(f"<pre>{self.words(4, 30)}</pre>")
             elif x < 0.92:
                 out.append(f'<p>{self.words(3, 12)} <a href="/y">{self.words(1, 4)}</a> {self.prose(1, 4)}</p>')
+            elif x < 0.93:
+                out.append(f"<figure>{r.choice(('<img src=x>', f'<svg viewBox=0><text>{self.words(1, 4)}</text></svg>'))}<figcaption>{self.words(3, 12)}</figcaption></figure>")
             elif x < 0.94:
-                out.append(f"<figure><img src=x><figcaption>{self.words(3, 12)}</figcaption></figure>")
+                out.append(f"<p>{self.prose(1, 2)} <math><mi>{self.word()}</mi><mo>=</mo><mn>{r.randint(1, 99)}</mn></math> {self.words(2, 9)}.</p>")
+            elif x < 0.95:
+                out.append(f"<object data=x>{self.prose(1, 2)}</object>")
+            elif x < 0.96:
+                out.append(f'<p><a href="/z">{self.words(2, 14)}{r.choice(("", ".", "?"))}</a></p>')
+            elif x < 0.97:
+                out.append(f"<section{self.attr('more', 'part', 'intro', 'details', 'notes', p=0.8)}><h2>{self.words(1, 6)}</h2>{''.join(f'<p>{self.prose(1, 6)}</p>' for _ in range(r.randint(1, 3)))}</section>")
+            elif x < 0.98:
+                out.append(f"{self.prose(1, 4)}<br>{self.prose(0, 3)}")
             else:
                 out.append(self.drop(self.inner()))
         return "".join(out)
@@ -409,12 +438,24 @@ class _Maker:
         ))()
 
     def drop(self, s: str) -> str:
-        return f"\x01{s}\x02"
+        return f"\x1c{s}\x1d"
+
+    def bare(self) -> str:
+        """A page of few elements: loose text, inline tags, a paragraph or two, with or without a body."""
+        r = self.r
+        loose = lambda: self.prose(1, 6) if r.random() < 0.6 else f"<{(t := r.choice(('b', 'i', 'em', 'strong', 'a href=x')))}>{self.words(1, 5)}</{t[0:6].split()[0]}> {self.prose(0, 4)}"
+        kept = "".join(r.choice((loose, loose, lambda: f"<p>{self.prose(1, 6)}</p>", lambda: f"{self.prose(1, 3)}<br>"))() for _ in range(r.choice((1, 1, 2, 3, 5))))
+        more = self.drop(f"<nav>{self.links(2, 6, 'span')}</nav>") if r.random() < 0.2 else ""
+        return r.choice(("{}", "<body>{}", "<html><body>{}</body></html>", "<html><head><title>x</title></head><body>{}</body></html>", "<title>x</title>{}")).format(f"{more}\x1e{kept}\x1f")
 
     def page(self) -> str:
-        """Text between \\x01 and \\x02 is dropped, text between \\x03 and \\x04 is the article."""
+        """Text between \\x1c and \\x1d is dropped, text between \\x1e and \\x1f is the article; the marks count as white space."""
         r = self.r
+        if r.random() < 0.1:
+            return self.bare()
         tops, ends = [], []
+        if r.random() < 0.15:
+            tops.append(r.choice((lambda: f"<noscript>{self.prose(1, 2)}</noscript>", lambda: f'<a href="#x">{self.words(1, 3)}</a>', lambda: " | ".join(f'<a href="/{i}">{self.words(1, 2)}</a>' for i in range(r.randint(2, 7))), lambda: f"<video src=x>{self.words(3, 8)}</video>"))())
         if r.random() < 0.75:
             tops.append(r.choice((lambda: f"<nav{self.attr('nav', 'menu', p=0.3)}><ul>{self.links(2, 12)}</ul></nav>", lambda: f"<div{self.attr('nav', 'navbar', 'menu', 'breadcrumbs', p=0.9)}>{self.links(2, 10, 'span')}</div>", lambda: f"<ul{self.attr('menu', 'navigation')}>{self.links(3, 12)}</ul>"))())
         if r.random() < 0.5:
@@ -445,7 +486,7 @@ class _Maker:
             if wrap == "article" and r.random() < 0.2:
                 main = f"<main>{main}</main>"
         drop = self.drop
-        s = "".join(map(drop, tops)) + f"\x03{main}\x04" + "".join(map(drop, ends))
+        s = "".join(map(drop, tops)) + f"\x1e{main}\x1f" + "".join(map(drop, ends))
         for _ in range(r.choice((0, 0, 1, 2))):
             s = f'<div{self.attr("page", "wrapper", "container", "site", p=0.6)}>{s}</div>'
         return f"<!DOCTYPE html><html><head><title>x</title></head><body>{s}{r.choice(('</body></html>', ''))}"
@@ -464,17 +505,18 @@ def labelled(count: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
         for piece in page.flow:
             if piece is None:
                 continue
-            for part in re.split(r"([\x01-\x04])", piece[2]):
-                if part in ("\x01", "\x02"):
-                    drop += 1 if part == "\x01" else -1
-                elif part in ("\x03", "\x04"):
-                    inside = part == "\x03"
+            for part in re.split(r"([\x1c-\x1f])", piece[2]):
+                if part in ("\x1c", "\x1d"):
+                    drop += 1 if part == "\x1c" else -1
+                elif part in ("\x1e", "\x1f"):
+                    inside = part == "\x1e"
                 elif part.strip() and inside and not drop:
                     keep[piece[0]] = True
         for i in range(n - 1, 0, -1):
             if keep[i]:
                 keep[page.parent[i]] = True
-        clean = Page(re.sub(r"[\x01-\x04]", "", marked))
+        clean = Page(re.sub(r"[\x1c-\x1f]", "", marked))
+        assert clean.tag == page.tag
         some = features(clean)
         has = some[:, len(TAGS) + 2 * (1 + len(BAD)) + 1] > 0
         has[0] = False
