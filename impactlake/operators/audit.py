@@ -51,10 +51,12 @@ def without_only(df: DataFrame, key: list[str], kind: str, value: str) -> DataFr
     return by.where(F.coalesce("_other", F.lit(False)) | (F.col("_n") == 0)).select(*key)
 
 
-def page_gaps(df: DataFrame, key: str, page: str, first: int = 0, most: Column | None = None) -> DataFrame:
-    """Pages between the first and the last one seen that are not there."""
+def page_gaps(df: DataFrame, key: str, page: str, first: int = 0, most: Column | None = None, expected: DataFrame | None = None) -> DataFrame:
+    """Pages between the first and the last one seen that are not there; of a key of `expected` without any page the first one."""
     seen = df.select(key, page).distinct()
     span = seen.groupBy(key).agg(F.max(page).alias("_last"))
+    if expected is not None:
+        span = expected.select(key).distinct().join(span, key, "left").withColumn("_last", F.coalesce("_last", F.lit(first)))
     return span.select(key, F.explode(F.sequence(F.lit(first), F.col("_last") if most is None else most)).alias(page)).join(seen, [key, page], "left_anti")
 
 
@@ -102,27 +104,46 @@ def promotion_score(support: Column, filled: Column, stability: Column, distinct
     return 0.3 * F.least(support, F.lit(1.0)) + 0.2 * filled + 0.2 * stability + 0.1 * (1.0 - F.least(distinct, F.lit(1.0))) + one(engineering, 0.2) - one(conflict, 0.3) - one(mapped, 0.2)
 
 
-def recommendation(mapped: Column, identifier: Column, conflict: Column, support: Column, filled: Column, stability: Column, distinct: Column, distinct_ratio: Column, numeric: Column, engineering: Column) -> Column:
-    """What to do with a field: priority and action, first rule wins."""
-    strong = support & (filled >= 0.10)
-    dictionary = distinct.between(2, 100) & (distinct_ratio <= 0.25)
+def recommendation(
+    support: Column, filled: Column, stability: Column, distinct: Column, distinct_ratio: Column, *,
+    semantic: Column, mapped: Column, raw_only: Column, identifier: Column, conflict: Column, numeric: Column, domain: Column, facet: Column, engineering: Column,
+    least_filled: float = 0.10, most_distinct_ratio: float = 0.25,
+) -> Column:
+    """What to do with a field, as priority:class; first rule wins.
+
+    The flags tell what the field is: part of the scope or the semantic identity, mapped, link or comment, identifier, in conflict, a
+    measurement, of a coded domain, a filter of the user, of an engineering endpoint."""
+    strong = support & (filled >= least_filled) & (stability >= 0.95)
+    dictionary = distinct.between(2, 100) & (distinct_ratio <= most_distinct_ratio)
+    # fixed values: the classes, their priorities and their order
     return (
-        F.when(mapped, "P3:none").when(identifier, "P3:identifier").when(conflict, "P1:resolve_conflict")
-        .when(strong & (stability >= 0.95) & numeric, "P2:numeric_column").when(strong & (stability >= 0.95) & dictionary, "P2:dictionary").when(strong & (stability >= 0.95) & engineering, "P1:column")
-        .when(strong & (stability >= 0.95), "P2:column").when(strong, "P2:manual").otherwise("P3:keep_raw")
-    )
+        F.when(conflict & semantic, "P0:semantic_key_candidate")
+        .when(mapped, "P3:raw_only_no_action")
+        .when(identifier, "P3:identifier_no_action")
+        .when(raw_only, "P3:raw_only_no_action")
+        .when(conflict, "P1:conflict_resolution_candidate")
+        .when(strong & numeric, "P2:numeric_measurement_column_candidate")
+        .when(strong & dictionary & domain, "P2:code_values_candidate")
+        .when(strong & dictionary, "P2:dictionary_candidate")
+        .when(strong & facet, "P2:facet_candidate")
+        .when(strong & engineering, "P1:column_candidate")
+        .when(strong, "P2:column_candidate")
+        .when(support & (stability < 0.95), "P2:requires_manual_review")
+        .otherwise("P3:raw_only_no_action")
+    )
 
 
 def conflict_class(field: Column, a: Column, b: Column) -> Column:
-    """The class of a conflict by its field and values, first rule wins."""
-    n, m = a.try_cast("double"), b.try_cast("double")
+    """The class of a conflict by its field and values, as priority:class; first rule wins."""
+    n, m, name = a.try_cast("double"), b.try_cast("double"), F.lower(F.coalesce(field, F.lit("")))
+    # fixed values: the classes, their fields and their order
     return (
-        F.when(field.rlike("test_no|test_date|scope"), "P0:semantic")
-        .when(F.coalesce(n == m, F.lit(False)), "P3:rounding")
-        .when(field.contains("occupant_location"), "P3:alias")
-        .when(field.rlike("speed|weight"), "P3:unit")
-        .when(field.rlike("test_type|configuration|make|model"), "P1:resolution")
-        .otherwise("P2:manual")
+        F.when(name.rlike("test_no|test_date|scope"), "P0:semantic_conflict")
+        .when(F.coalesce(n == m, F.lit(False)), "P3:numeric_rounding_difference")
+        .when(name.contains("occupant_location"), "P3:benign_alias_difference")
+        .when(name.rlike("vehicle_speed|vehicle_test_weight"), "P3:unit_representation_difference")
+        .when(name.rlike("test_type|configuration|make|model"), "P1:canonical_resolution_needed")
+        .otherwise("P2:requires_manual_review")
     )
 
 
@@ -172,5 +193,16 @@ def gate(df: DataFrame, checks: dict[str, Column]) -> None:
         raise ValueError(f"gates failed: {', '.join(failed)}")
 
 
-def storage_advice(size_bytes: Column, rows: Column) -> Column:
-    return F.when((size_bytes >= 10_000_000_000) | (rows >= 50_000_000), "partitioned_files").when((size_bytes >= 2_000_000_000) | (rows >= 5_000_000), "columnar_file").otherwise("single_file")
+def bottlenecks(estimates: DataFrame, least: int = 1_000_000, limit: int = 10) -> DataFrame:
+    """The largest tables by estimated rows, of those with at least `least`."""
+    return estimates.where(F.col("estimated_rows") >= least).orderBy(F.desc("estimated_rows"), "table_name").limit(limit)
+
+
+def storage_advice(size_bytes: Column, lineage_rows: Column) -> Column:
+    """Where a catalog of that size and that many estimated lineage rows should live."""
+    # fixed values: the bounds and the answers
+    return (
+        F.when(size_bytes > 5_000_000_000, "postgresql_recommended_before_full_scale")
+        .when(lineage_rows > 5_000_000, "sqlite_possible_but_postgresql_preferred_for_lineage_queries")
+        .otherwise("sqlite_possible_for_full_scale_metadata_only")
+    )

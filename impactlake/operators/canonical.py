@@ -43,17 +43,44 @@ CHANNELS = [
     Field("time_increment", ("timeIncrement",), "number"), Field("channel_status", ("channelStatus",)), Field("data_status", ("dataStatus",)),
 ]
 INTRUSIONS = [Field("vehicle_no", ("vehicleNo", "VEHNO"), "int"), Field("measurement_code", ("measurementCode",)), Field("intrusion", ("intrusion",), "number"), Field("unit", ("unit",))]
-INJURY_CODES = ["HIC", "CSI", "TTI", "HIC15", "HIC36", "CLIP3M", "PELVISG"]
-DEFORMATION_CODES = [f"DPD{i}" for i in range(1, 7)] + ["LENCNT", "DAMDST", "CRHDST", "vaxCrushDistance"]
+# fixed values: codes of injury metrics and of deformation measurements
+INJURY_CODES = ["HIC", "CSI", "TTI", "LFEM", "RFEM", "LBELT", "SBELT"]
+DEFORMATION_CODES = ["DPD1", "DPD2", "DPD3", "DPD4", "DPD5", "DPD6", "DAMDST", "CRHDST", "PDOF", "VDI"]
 PACKAGE_KEYS = {"udsFiles": "UDS", "evFiles": "EV", "abfFiles": "ABF", "isoFiles": "ISO", "tdmsFiles": "TDMS"}
 SECTIONS = {
     "tests": ["test_summary", "test_detail", "TEST"], "vehicles": ["vehicle_info", "vehicle_detail", "VEHICLE"], "barriers": ["barrier_info", "BARRIER"], "occupants": ["occupant_info", "occupant_detail", "OCCUPANT"],
     "restraints": ["restraint_info", "RESTRAINT"], "channels": ["instrumentation_info", "instrumentation_detail", "INSTRUMENTATION"], "intrusions": ["intrusion_info"], "assets": ["multimedia_files", "vehicle_documents", "URL", "REPORTS", "VIDEOS", "PHOTOS"],
 }
+# fixed values: seats as sources write them, and their normal form
 LOCATIONS = {
-    "LEFT_FRONT": ["01", "1", "DRIVER", "LEFT FRONT", "FRONT LEFT", "LEFT FRONT SEAT", "FRONT LEFT SEAT"], "RIGHT_FRONT": ["02", "2", "PASSENGER", "RIGHT FRONT", "FRONT RIGHT", "RIGHT FRONT SEAT", "FRONT RIGHT SEAT"],
-    "RIGHT_REAR": ["03", "3", "RIGHT REAR", "REAR RIGHT", "RIGHT REAR SEAT", "REAR RIGHT SEAT"], "LEFT_REAR": ["04", "4", "REAR PASSENGER", "LEFT REAR", "REAR LEFT", "LEFT REAR SEAT", "REAR LEFT SEAT"],
-}
+    "01": "LEFT_FRONT",
+    "1": "LEFT_FRONT",
+    "DRIVER": "LEFT_FRONT",
+    "LEFT FRONT": "LEFT_FRONT",
+    "LEFT FRONT SEAT": "LEFT_FRONT",
+    "FRONT LEFT": "LEFT_FRONT",
+    "FRONT LEFT SEAT": "LEFT_FRONT",
+    "02": "RIGHT_FRONT",
+    "2": "RIGHT_FRONT",
+    "PASSENGER": "RIGHT_FRONT",
+    "RIGHT FRONT": "RIGHT_FRONT",
+    "RIGHT FRONT SEAT": "RIGHT_FRONT",
+    "FRONT RIGHT": "RIGHT_FRONT",
+    "FRONT RIGHT SEAT": "RIGHT_FRONT",
+    "03": "RIGHT_REAR",
+    "3": "RIGHT_REAR",
+    "RIGHT REAR": "RIGHT_REAR",
+    "RIGHT REAR SEAT": "RIGHT_REAR",
+    "REAR RIGHT": "RIGHT_REAR",
+    "REAR RIGHT SEAT": "RIGHT_REAR",
+    "04": "LEFT_REAR",
+    "4": "LEFT_REAR",
+    "LEFT REAR": "LEFT_REAR",
+    "LEFT REAR SEAT": "LEFT_REAR",
+    "REAR LEFT": "LEFT_REAR",
+    "REAR LEFT SEAT": "LEFT_REAR",
+    "REAR PASSENGER": "LEFT_REAR",
+}
 
 
 def columns(spec: list[Field], data: str = "data") -> list[Column]:
@@ -72,10 +99,8 @@ def columns(spec: list[Field], data: str = "data") -> list[Column]:
 def location(raw: Column) -> Column:
     """The normal form of a seat; unknown is null."""
     n = text.normalize_text(raw)
-    out = F.when(n.isNull() | (n == "UNKNOWN"), None)
-    for name, words in LOCATIONS.items():
-        out = out.when(n.isin(words), name)
-    return out.otherwise(F.replace(n, F.lit(" "), F.lit("_")))
+    known = F.create_map(*[F.lit(x) for pair in LOCATIONS.items() for x in pair])
+    return F.when(n.isNull() | (n == "UNKNOWN"), None).otherwise(F.coalesce(F.try_element_at(known, n), F.replace(n, F.lit(" "), F.lit("_"))))
 
 
 def _rows(rows: DataFrame, table: str) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
-def equivalent(a: Column, b: Column) -> Column:
-    """Numbers by value, else by text."""
-    n, m = a.cast("string").try_cast("double"), b.cast("string").try_cast("double")
-    return F.when(n.isNotNull() & m.isNotNull(), n == m).otherwise(a.cast("string") == b.cast("string"))
+def equivalent(a: Column, b: Column, numeric: bool) -> Column:
+    """Columns of numbers by value, all others by text: the text "01" is not "1"."""
+    return a.cast("double") == b.cast("double") if numeric else a.cast("string") == b.cast("string")
 
 
 def _ordered(rows: DataFrame, key: list[str], order: list[str], priority: str) -> DataFrame:
@@ -37,11 +37,15 @@ def conflicts(rows: DataFrame, key: list[str], values: list[str], order: list[st
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     base = _ordered(rows, key, order, priority).withColumn("_s1", F.first(source).over(all_))
-    marked = base.select(*key, "_n", "_s1", source, *[F.struct(F.lit(v).alias("field"), _value(v, before, priority).cast("string").alias("current"), F.col(v).cast("string").alias("incoming")).alias(f"_c{i}") for i, v in enumerate(values)])
-    each = marked.select(*key, "_n", F.col("_s1").alias("source_a"), F.col(source).alias("source_b"), F.explode(F.array(*[F.col(f"_c{i}") for i in range(len(values))])).alias("c")).select(*key, "_n", "source_a", "source_b", "c.*")
-    found = each.where(F.col("current").isNotNull() & F.col("incoming").isNotNull() & ~equivalent(F.col("current"), F.col("incoming")))
+    now = base.select(*key, "_n", "_s1", source, *values, *[_value(v, before, priority).alias(f"_v{i}") for i, v in enumerate(values)])
+    cells = [
+        F.struct(F.lit(v).alias("field"), F.col(f"_v{i}").cast("string").alias("current"), F.col(v).cast("string").alias("incoming"), equivalent(F.col(f"_v{i}"), F.col(v), isinstance(rows.schema[v].dataType, NumericType)).alias("_same"))
+        for i, v in enumerate(values)
+    ]
+    each = now.select(*key, "_n", F.col("_s1").alias("source_a"), F.col(source).alias("source_b"), F.explode(F.array(*cells)).alias("c")).select(*key, "_n", "source_a", "source_b", "c.*")
+    found = each.where(F.col("current").isNotNull() & F.col("incoming").isNotNull() & ~F.col("_same"))
     first = Window.partitionBy(*key, "field", "source_a", "source_b").orderBy("_n")
-    return found.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "_n")
+    return found.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "_n", "_same")
 
 
 def row_sources(rows: DataFrame, key: list[str], lineage: list[str]) -> DataFrame:
@@ -56,8 +60,8 @@ def entity_keys(rows: DataFrame, primary: list[str], fallback: list[str], order:
         whole = whole & F.col(c).isNotNull()
     digest = lambda kind, names: F.sha2(F.concat_ws("|", F.lit(kind), *[F.coalesce(F.col(c).cast("string"), F.lit("<NULL>")) for c in names]), 256)
     by_key = rows.withColumn("_pk", F.when(whole, digest("p", primary))).withColumn("_fb", digest("f", fallback))
-    first = Window.partitionBy("_fb").orderBy(*order)
-    known = by_key.where(whole).select("_fb", F.col("_pk").alias("_first"), F.row_number().over(first).alias("_n")).where("_n = 1").drop("_n")
+    # an aggregate, counted in advance on each side of the shuffle: a fallback that most rows share is no hot task
+    known = by_key.where(whole).groupBy("_fb").agg(F.min_by("_pk", F.struct(*order)).alias("_first"))
     return by_key.join(known, "_fb", "left").withColumn("entity_key", F.coalesce("_pk", "_first", "_fb")).drop("_pk", "_fb", "_first")
 
 

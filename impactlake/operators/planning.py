@@ -63,10 +63,11 @@ def balanced_pick(df: DataFrame, group: str, bucket: str, order: list[str], take
 def greedy_pick(df: DataFrame, group: str, value: str, order: list[str], quota: int) -> DataFrame:
     """Rows taken in order, skipping a row whose value was just taken, at most `quota` a group.
 
-    A row is taken by such a walk exactly if its value differs from that of the row before it, so no loop is needed."""
+    A row is taken by such a walk exactly if its value differs from that of the row before it, so no loop is needed.  Null is a value like others."""
     w = Window.partitionBy(group).orderBy(*order)
-    changed = df.withColumn("_before", F.lag(value).over(w)).where(F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col("_before")))
-    return changed.withColumn("pick_order", F.row_number().over(w)).where(F.col("pick_order") <= quota).drop("_before")
+    seen = df.withColumn("_before", F.lag(value).over(w)).withColumn("_n", F.row_number().over(w))
+    changed = seen.where((F.col("_n") == 1) | ~F.col(value).eqNullSafe(F.col("_before")))
+    return changed.withColumn("pick_order", F.row_number().over(w)).where(F.col("pick_order") <= quota).drop("_before", "_n")
 
 
 def set_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

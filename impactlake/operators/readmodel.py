@@ -46,9 +46,13 @@ def facets_distinct(df: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
 
 
 def top_facets(f: DataFrame, k: int) -> DataFrame:
-    """The k most frequent values of each facet, ties by value."""
-    w = Window.partitionBy("facet_name").orderBy(F.desc("facet_count"), "facet_value")
-    return f.withColumn("facet_rank", F.row_number().over(w)).where(F.col("facet_rank") <= k)
+    """The k most frequent values of each facet, ties by value.
+
+    A facet may have as many values as the table has rows: the best of each hash part are ranked first, then those of the facet."""
+    best = [F.desc("facet_count"), "facet_value"]
+    part = F.pmod(F.xxhash64("facet_value"), F.lit(64))
+    local = f.withColumn("facet_rank", F.row_number().over(Window.partitionBy("facet_name", part).orderBy(*best))).where(F.col("facet_rank") <= k)
+    return local.withColumn("facet_rank", F.row_number().over(Window.partitionBy("facet_name").orderBy(*best))).where(F.col("facet_rank") <= k)
 
 
 def code_values(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
@@ -71,29 +75,36 @@ def impact_direction(angle: Column) -> Column:
 
 def counterparty(kinds: Column, subjects: Column) -> Column:
     """Of the kinds (array) of participants and the number of subjects."""
-    return F.when(F.array_contains(kinds, "barrier"), "barrier").when(F.array_contains(kinds, "impactor_vehicle"), "impactor").when(subjects >= 2, "vehicle").otherwise("unknown")
+    return F.when(F.array_contains(kinds, "barrier"), "barrier").when(F.array_contains(kinds, "impactor_vehicle"), "impactor_vehicle").when(subjects >= 2, "vehicle").otherwise("unknown")
 
 
-# rule list: (family, phrases), first hit wins
+# fixed values: (family, phrases), first hit wins
 FAMILIES = [
-    ("adas_fcw", ["FORWARD COLLISION", " FCW"]), ("adas_ldw", ["LANE DEPARTURE", " LDW"]), ("adas_other", ["TRAFFIC JAM ASSIST"]), ("pedestrian", ["PEDESTRIAN"]), ("low_risk_deployment", ["LOW RISK DEPLOYMENT"]),
-    ("sled_with_body", ["SLED WITH VEHICLE BODY"]), ("sled_without_body", ["SLED WITHOUT VEHICLE BODY"]), ("static_airbag", ["STATIC AIR BAG TEST SIDE", "OUT OF POSITION"]), ("rollover", ["ROLLOVER"]),
-    ("child_restraint", ["FMVSS 213", "CHILD RESTRAINT"]), ("calibration", ["CALIBRATION"]), ("research_other", ["RESEARCH"]),
-]
+    ("adas_fcw", ["FORWARD COLLISION WARNING", " FCW"]),
+    ("adas_ldw", ["LANE DEPARTURE WARNING", " LDW"]),
+    ("adas_other", ["TRAFFIC JAM ASSIST"]),
+    ("pedestrian", ["PEDESTRIAN"]),
+    ("low_risk_deployment", ["LOW RISK DEPLOYMENT"]),
+    ("sled_with_body", ["SLED WITH VEHICLE BODY"]),
+    ("sled_without_body", ["SLED WITHOUT VEHICLE BODY"]),
+    ("static_airbag", ["STATIC AIR BAG TEST SIDE", "OUT OF POSITION"]),
+    ("rollover", ["ROLLOVER"]),
+    ("child_restraint", ["FMVSS 213", "CHILD RESTRAINT"]),
+    ("calibration", ["CALIBRATION"]),
+    ("research_other", ["RESEARCH"]),
+]
 
 
 def family(words: Column, direction: Column, other: Column) -> Column:
     """The family of a test by phrases in its upper-cased texts, else by direction and counterparty."""
     from .canonical import cascade
 
-    rest = F.when((direction == "frontal") & (other == "barrier"), "frontal_barrier").when((direction == "side") & (other == "impactor"), "side_impactor").when(direction != "unknown", direction).otherwise("unknown")
+    rest = F.when((direction == "frontal") & (other == "barrier"), "frontal_barrier").when((direction == "side") & (other == "impactor_vehicle"), "side_impactor").when(direction != "unknown", direction).otherwise("unknown")
     return cascade(words, FAMILIES, rest)
 
 
-def list_page(df: DataFrame, equal: dict[str, object], contains: dict[str, str], order: list[str], offset: int = 0, limit: int = 5000) -> DataFrame:
-    """Filter, total count, stable order, page.  Empty filter values do not filter."""
-    if offset < 0 or limit < 0:
-        raise ValueError("offset and limit must not be negative")
+def list_filtered(df: DataFrame, equal: dict[str, object], contains: dict[str, str]) -> DataFrame:
+    """Rows that all filters hold for.  Empty filter values do not filter."""
     out = df
     for c, v in equal.items():
         if v not in (None, ""):
@@ -101,7 +112,19 @@ def list_page(df: DataFrame, equal: dict[str, object], contains: dict[str, str],
     for c, v in contains.items():
         if v not in (None, ""):
             out = out.where(F.array_contains(c, v))
-    return out.orderBy(*order).offset(offset).limit(limit)
+    return out
+
+
+def list_page(df: DataFrame, equal: dict[str, object], contains: dict[str, str], order: list[str], offset: int = 0, limit: int = 5000) -> DataFrame:
+    """Filter, stable order, page; `list_total` has the count of all pages."""
+    if offset < 0 or limit < 0:
+        raise ValueError("offset and limit must not be negative")
+    return list_filtered(df, equal, contains).orderBy(*order).offset(offset).limit(limit)
+
+
+def list_total(df: DataFrame, equal: dict[str, object], contains: dict[str, str]) -> DataFrame:
+    """One row: how many rows the filters hold for, whatever the page."""
+    return list_filtered(df, equal, contains).agg(F.count(F.lit(1)).alias("total"))
 
 
 def taxonomy_groups(f: DataFrame, taxonomy: list[tuple[str, str]], spark) -> DataFrame:

@@ -141,7 +141,7 @@ def impact_direction(spark, d):
     return t(spark, d, "lineitem").select(readmodel.impact_direction(F.col("l_quantity") * 17 - 400).alias("direction")).groupBy("direction").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT counterparty, count(*) AS n FROM (SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'barrier' WHEN bool_or(l_returnflag = 'A') THEN 'impactor'
+@query("""SELECT counterparty, count(*) AS n FROM (SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'barrier' WHEN bool_or(l_returnflag = 'A') THEN 'impactor_vehicle'
     WHEN count(*) >= 2 THEN 'vehicle' ELSE 'unknown' END AS counterparty FROM lineitem GROUP BY 1) GROUP BY 1""")
 def counterparty(spark, d):
     kinds = F.collect_set(F.when(F.col("l_returnflag") == "R", "barrier").when(F.col("l_returnflag") == "A", "impactor_vehicle").otherwise("subject_vehicle"))
@@ -429,16 +429,18 @@ def field_profile(spark, d):
 
 @query(PROFILE + """ SELECT event_type, round_even(0.3::DOUBLE * least(test_count / 200.0::DOUBLE, 1.0) + 0.2::DOUBLE * filled_ratio + 0.2::DOUBLE * type_stability + 0.1::DOUBLE * (1.0 - least(0.25::DOUBLE, 1.0))
     + CASE WHEN event_type = 'error' THEN 0.2::DOUBLE ELSE 0.0 END - CASE WHEN event_type = 'view' THEN 0.3::DOUBLE ELSE 0.0 END - 0.0, 4) AS score,
-    CASE WHEN event_type = 'signup' THEN 'P3:none' WHEN event_type = 'view' THEN 'P1:resolve_conflict' WHEN type_stability >= 0.95 THEN 'P2:column' ELSE 'P2:manual' END AS recommendation FROM p""")
+    CASE WHEN event_type = 'signup' THEN 'P3:raw_only_no_action' WHEN event_type = 'view' THEN 'P1:conflict_resolution_candidate' WHEN type_stability < 0.95 THEN 'P2:requires_manual_review'
+         WHEN event_type = 'error' THEN 'P1:column_candidate' ELSE 'P2:column_candidate' END AS recommendation FROM p""")
 def promotion_score(spark, d):
     p, e, no = profile(spark, d), F.col("event_type"), F.lit(False)
     score = audit.promotion_score(F.col("test_count") / 200.0, F.col("filled_ratio"), F.col("type_stability"), F.lit(0.25), e == "error", e == "view", no)
-    rec = audit.recommendation(e == "signup", no, e == "view", F.col("test_count") >= 5, F.col("filled_ratio"), F.col("type_stability"), F.lit(1), F.lit(1.0), no, no)
+    flags = {"semantic": no, "mapped": e == "signup", "raw_only": no, "identifier": no, "conflict": e == "view", "numeric": no, "domain": no, "facet": no, "engineering": e == "error"}
+    rec = audit.recommendation(F.col("test_count") >= 5, F.col("filled_ratio"), F.col("type_stability"), F.lit(1), F.lit(1.0), **flags)
     return p.select("event_type", F.bround(score, 4).alias("score"), rec.alias("recommendation"))
 
 
-@query("""SELECT class, count(*) AS n FROM (SELECT CASE CAST(l_linenumber AS INTEGER) WHEN 1 THEN 'P0:semantic' WHEN 2 THEN 'P3:alias' WHEN 3 THEN CASE WHEN l_quantity = l_suppkey THEN 'P3:rounding' ELSE 'P3:unit' END
-    WHEN 4 THEN CASE WHEN l_quantity = l_suppkey THEN 'P3:rounding' ELSE 'P1:resolution' END ELSE CASE WHEN l_quantity = l_suppkey THEN 'P3:rounding' ELSE 'P2:manual' END END AS class FROM lineitem) GROUP BY 1""")
+@query("""SELECT class, count(*) AS n FROM (SELECT CASE CAST(l_linenumber AS INTEGER) WHEN 1 THEN 'P0:semantic_conflict' WHEN 2 THEN 'P3:benign_alias_difference' WHEN 3 THEN CASE WHEN l_quantity = l_suppkey THEN 'P3:numeric_rounding_difference' ELSE 'P3:unit_representation_difference' END
+    WHEN 4 THEN CASE WHEN l_quantity = l_suppkey THEN 'P3:numeric_rounding_difference' ELSE 'P1:canonical_resolution_needed' END ELSE CASE WHEN l_quantity = l_suppkey THEN 'P3:numeric_rounding_difference' ELSE 'P2:requires_manual_review' END END AS class FROM lineitem) GROUP BY 1""")
 def conflict_taxonomy(spark, d):
     n = F.col("l_linenumber")
     name = F.when(n == 1, "test_date").when(n == 2, "occupant_location").when(n == 3, "vehicle_speed").when(n == 4, "test_configuration").otherwise("axis")
@@ -464,11 +466,11 @@ def capacity(spark, d):
     return audit.capacity(audit.table_counts({n: t(spark, d, n) for n in SIZES}), 1500, 3891)
 
 
-@query("""SELECT table_name, row_count, CASE WHEN row_count >= 50000 THEN 'partitioned_files' WHEN row_count >= 5000 THEN 'columnar_file' ELSE 'single_file' END AS advice FROM (SELECT 'lineitem' AS table_name, count(*) AS row_count FROM lineitem
-    UNION ALL SELECT 'orders', count(*) FROM orders) ORDER BY row_count DESC LIMIT 10""")
+@query("SELECT table_name, estimated_rows, CASE WHEN estimated_rows > 5000000 THEN 'sqlite_possible_but_postgresql_preferred_for_lineage_queries' ELSE 'sqlite_possible_for_full_scale_metadata_only' END AS advice FROM ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) * 1000 AS estimated_rows FROM {n}" for n in SIZES) + ") WHERE estimated_rows >= 1000000 ORDER BY estimated_rows DESC, table_name LIMIT 10")
 def bottlenecks(spark, d):
-    c = audit.table_counts({n: t(spark, d, n) for n in ("lineitem", "orders")})
-    return audit.ordered(c, F.desc("row_count"), limit=10).select("table_name", "row_count", audit.storage_advice(F.lit(0), F.col("row_count") * 1000).alias("advice"))
+    counts = audit.table_counts({n: t(spark, d, n) for n in SIZES}).select("table_name", (F.col("row_count") * 1000).alias("estimated_rows"))
+    return audit.bottlenecks(counts).select("table_name", "estimated_rows", audit.storage_advice(F.lit(0), F.col("estimated_rows")).alias("advice"))
 
 
 # --- planning -----------------------------------------------------------------------------------------------------

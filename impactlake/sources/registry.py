@@ -15,40 +15,46 @@ class Endpoint:
     name: str
     group: str
     path: str
-    params: tuple[str, ...] = ()
-    query: tuple[str, ...] = ()
     page_size: int | None = None
     optional: bool = False
-    allow_empty: bool = False
+    allow_empty: bool = True
     priority: int = 99
     sections: tuple[str, ...] = field(default=())
 
+    @property
+    def params(self) -> tuple[str, ...]:
+        """The path's values, in the order in which requests name them."""
+        return tuple(p for p in ("test_no", "vehicle_no", "occupant_location", "curve_no") if f"{{{p}}}" in self.path)
 
-T, TV, TVL, TC = ("test_no",), ("test_no", "vehicle_no"), ("test_no", "vehicle_no", "occupant_location"), ("test_no", "curve_no")
-PAGE = ("page", "count")
-# fixed values: names and grouping of the public endpoints
+    @property
+    def query(self) -> tuple[str, ...]:
+        return ("pageNumber", "count") if self.page_size else ()
+
+
+DB = "/vehicle-database-test-results"
+# fixed values: names, groups, paths and page sizes of the public endpoints, and the merge priority of what they return
 ENDPOINTS = [
-    Endpoint("test_results", "discovery", "/test-results", (), PAGE, 100),
-    Endpoint("search", "discovery", "/search", (), PAGE, 100),
-    Endpoint("search_vehicle", "discovery", "/search/vehicle", (), PAGE, 100, True),
-    Endpoint("search_barrier", "discovery", "/search/barrier", (), PAGE, 100, True),
-    Endpoint("vehicle_models", "discovery", "/vehicle-models", (), (), None, True),
-    Endpoint("occupant_types", "discovery", "/occupant-types", (), (), None, True),
-    Endpoint("test_summary", "test", "/tests/{test_no}/summary", T),
-    Endpoint("metadata_export", "test", "/tests/{test_no}/metadata", T, priority=4, sections=("TEST", "VEHICLE", "BARRIER", "OCCUPANT", "RESTRAINT", "INSTRUMENTATION", "URL", "REPORTS", "VIDEOS", "PHOTOS")),
-    Endpoint("test_detail", "test", "/tests/{test_no}/detail", T, optional=True, priority=3),
-    Endpoint("vehicle_info", "test", "/tests/{test_no}/vehicles", T, allow_empty=True),
-    Endpoint("barrier_info", "test", "/tests/{test_no}/barriers", T, allow_empty=True),
-    Endpoint("occupant_info", "test", "/tests/{test_no}/occupants", T, allow_empty=True, priority=2),
-    Endpoint("multimedia_files", "test", "/tests/{test_no}/multimedia", T, allow_empty=True),
-    Endpoint("vehicle_documents", "test", "/tests/{test_no}/documents", T, allow_empty=True),
-    Endpoint("vehicle_detail", "vehicle", "/tests/{test_no}/vehicles/{vehicle_no}", TV, optional=True, allow_empty=True),
-    Endpoint("occupant_info_by_vehicle", "vehicle", "/tests/{test_no}/vehicles/{vehicle_no}/occupants", TV, optional=True, allow_empty=True),
-    Endpoint("intrusion_info", "vehicle", "/tests/{test_no}/vehicles/{vehicle_no}/intrusions", TV, allow_empty=True),
-    Endpoint("occupant_detail", "slot", "/tests/{test_no}/vehicles/{vehicle_no}/occupants/{occupant_location}", TVL, optional=True, allow_empty=True, priority=1),
-    Endpoint("restraint_info", "slot", "/tests/{test_no}/vehicles/{vehicle_no}/occupants/{occupant_location}/restraints", TVL, allow_empty=True, priority=0),
-    Endpoint("instrumentation_info", "test", "/tests/{test_no}/instrumentation", T, PAGE, 20, allow_empty=True),
-    Endpoint("instrumentation_detail", "curve", "/tests/{test_no}/instrumentation/{curve_no}", TC, optional=True, allow_empty=True),
+    Endpoint("test_results", "discovery", DB, 100),
+    Endpoint("search", "discovery", f"{DB}/by-search", 100),
+    Endpoint("search_vehicle", "discovery_optional", f"{DB}/by-search-vehicle", optional=True),
+    Endpoint("search_barrier", "discovery_optional", f"{DB}/by-search-barrier", optional=True),
+    Endpoint("vehicle_models", "discovery_optional", f"{DB}/vehicleModels", optional=True),
+    Endpoint("occupant_types", "discovery_optional", f"{DB}/occupant-types", optional=True),
+    Endpoint("test_summary", "core", f"{DB}/test-no/{{test_no}}"),
+    Endpoint("metadata_export", "core", f"{DB}/metadata/{{test_no}}", priority=4, sections=("TEST", "VEHICLE", "BARRIER", "OCCUPANT", "RESTRAINT", "INSTRUMENTATION", "URL", "REPORTS", "VIDEOS", "PHOTOS")),
+    Endpoint("test_detail", "core_optional", f"{DB}/get-test-detail/{{test_no}}", optional=True, priority=3),
+    Endpoint("vehicle_info", "detail", f"{DB}/get-vehicle-info/{{test_no}}"),
+    Endpoint("vehicle_detail", "detail", f"{DB}/get-vehicle-detail-info/{{vehicle_no}}/{{test_no}}"),
+    Endpoint("barrier_info", "detail", f"{DB}/get-barrier-info/{{test_no}}"),
+    Endpoint("occupant_info", "detail", f"{DB}/get-occupant-info/{{test_no}}", priority=2),
+    Endpoint("occupant_info_by_vehicle", "detail", f"{DB}/get-occupant-info/{{vehicle_no}}/{{test_no}}"),
+    Endpoint("occupant_detail", "detail", f"{DB}/get-occupant-detail-information/{{vehicle_no}}/{{test_no}}/{{occupant_location}}", priority=1),
+    Endpoint("restraint_info", "detail", f"{DB}/get-restraint-info/{{vehicle_no}}/{{test_no}}/{{occupant_location}}", priority=0),
+    Endpoint("intrusion_info", "detail", f"{DB}/get-intrusion-info/{{vehicle_no}}/{{test_no}}"),
+    Endpoint("instrumentation_info", "detail", f"{DB}/get-instrumentation-info/{{test_no}}", 20),
+    Endpoint("instrumentation_detail", "detail", f"{DB}/get-instrumentation-detail-info/{{curve_no}}/{{test_no}}"),
+    Endpoint("multimedia_files", "assets", f"{DB}/get-multimedia-files/{{test_no}}"),
+    Endpoint("vehicle_documents", "assets", "/vehicle-documents/test-no/{test_no}"),
 ]
 BY_NAME = {e.name: e for e in ENDPOINTS}
 
@@ -69,5 +75,6 @@ def priority(endpoint: Column) -> Column:
 
 
 def url_for(name: str, base: str, **values: Column) -> Column:
+    """The URL of an endpoint; a value that the path lacks is a query parameter."""
     e = BY_NAME[name]
-    return F.concat(F.lit(base.rstrip("/")), render_url(e.path, [q for q in e.query if q in values], values))
+    return F.concat(F.lit(base.rstrip("/")), render_url(e.path, [*[q for q in e.query if q in values], *[v for v in values if v not in e.params and v not in e.query]], values))

@@ -157,7 +157,11 @@ def test_landed_files(spark, tmp_path):
 def test_registry(spark):
     assert registry.endpoints(spark).count() == 21
     url = spark.range(1).select(registry.url_for("occupant_detail", "https://h/", test_no=F.lit(5), vehicle_no=F.lit(1), occupant_location=F.lit("LEFT FRONT"))).first()[0]
-    assert url == "https://h/tests/5/vehicles/1/occupants/LEFT%20FRONT"
+    assert url == "https://h/vehicle-database-test-results/get-occupant-detail-information/1/5/LEFT%20FRONT"
+    paged = spark.range(1).select(registry.url_for("instrumentation_info", "https://h", test_no=F.lit(5), pageNumber=F.lit(1), count=F.lit(20))).first()[0]
+    assert paged == "https://h/vehicle-database-test-results/get-instrumentation-info/5?pageNumber=1&count=20"
+    assert registry.BY_NAME["vehicle_documents"].path == "/vehicle-documents/test-no/{test_no}" and registry.BY_NAME["restraint_info"].params == ("test_no", "vehicle_no", "occupant_location")
+    assert [e.name for e in registry.ENDPOINTS if e.optional] == ["search_vehicle", "search_barrier", "vehicle_models", "occupant_types", "test_detail"]
 
 
 def test_http_gate_and_retries():
