@@ -393,11 +393,12 @@ class _Maker:
         out = []
         if r.random() < 0.85:
             out.append(f"<h1>{self.words(2, 12)}</h1>")
-        small = r.random() < 0.25
+        small, plain = r.random() < 0.25, r.random() < 0.2
         for _ in range(r.choice((0, 1, 1, 2, 3, 5, 8, 12, 20))):
             x = r.random()
             if x < 0.62:
-                out.append(f"<p>{self.prose(1, 2 if small else 12)}</p>")
+                t = "div" if plain and r.random() < 0.6 else "p"
+                out.append(f"<{t}>{self.prose(1, 2 if small else 12)}</{t}>")
             elif x < 0.70:
                 out.append(f"<p><b>{self.prose(1, 3)}<br>")
             elif x < 0.76:
@@ -480,9 +481,11 @@ class _Maker:
             ends.append(f"<footer{self.attr('footer', p=0.3)}>&copy; {self.words(1, 3)} &middot; {self.prose(1, 2)}{self.links(0, 4, 'span')}</footer>" if r.random() < 0.75 else f'<div class="{r.choice(("footer", "copyright", "site-footer"))}"><p>&copy; {self.prose(1, 2)}</p></div>')
         main = ""
         if r.random() < 0.96:
-            wrap = r.choice(("article", "article", "article", "main", "div", "div", "section", "none"))
+            wrap = r.choice(("article", "article", "article", "main", "div", "div", "section", "none", "td"))
             body = self.article()
             main = f"<{wrap}{self.attr('content', 'article', 'post', 'entry-content', 'story', 'main', p=0.9 if wrap in ('div', 'section') else 0.3)}>{body}</{wrap}>" if wrap != "none" else body
+            if wrap == "td":  # a table for layout
+                main = f"<table><tr>{main}</tr></table>"
             if wrap == "article" and r.random() < 0.2:
                 main = f"<main>{main}</main>"
         drop = self.drop
