@@ -26,6 +26,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
@@ -38,12 +39,13 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 
-from ._common import read, scratch, ship, tidy
+from ._common import drop, read, scratch, ship, written
 
 SCHEMA = "record_type string, page_id long, url string, refers_to long, payload_digest string, payload_bytes long, record_id string, date string, payload binary"
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WINDOW = 1 << 20
+FEW = 1 << 17  # digests of repeated payloads, about 40 bytes each, that are broadcast
 
 
 def base32_sha1(data: bytes) -> str:
@@ -321,9 +323,9 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, path = open_fs(self.path)
         fs.create_dir(path, recursive=True)
-        for m in messages:
-            for name in m.files if m else ():
-                fs.move(f"{path}/_open-{self.job}/{name}", f"{path}/{name}")
+        names = [name for m in messages for name in (m.files if m else ())]
+        with ThreadPoolExecutor(32) as pool:  # a rename waits for the store, not for the driver
+            list(pool.map(lambda name: fs.move(f"{path}/_open-{self.job}/{name}", f"{path}/{name}"), names))
         self._clear(fs, path)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -360,13 +362,17 @@ def register(spark: SparkSession) -> None:
 def as_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
     """Pages as records to write: of equal payloads of at least `least` bytes the one with the largest id is the response.
 
-    Rows of that id that repeat are responses too; a payload that no row with an id has is a response."""
+    Rows of that id that repeat are responses too; a payload that no row with an id has is a response.  The digests of repeated
+    payloads are written as a slim table first: up to FEW of them go to every task and no payload moves; beyond
+    that the payloads are dealt by digest, where Spark splits a hot one."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     # only payloads that occur again matter: counted in advance on each side of the shuffle, so a hot payload is no hot task
     again = rows.where(F.col("payload_bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("last").isNotNull()).select("sha1", "last")
+    again = written(again)
+    few = again.count() <= FEW
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return rows.join(again, "sha1", "left").select(
+    out = rows.join(F.broadcast(again) if few else again, "sha1", "left").select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         "page_id",
         "url",
@@ -375,13 +381,17 @@ def as_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
         "payload_bytes",
         F.when(~revisit, F.col("payload")).alias("payload"),
     )
+    out._scratch = again._scratch
+    return out
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for every page, written to archives and read back; sizes and digests of the payloads that come back."""
     register(spark)
     folder = scratch(spark)
-    as_records(read(spark, sf_dir, "pages")).write.format("warc").mode("append").save(folder)
+    pages = as_records(read(spark, sf_dir, "pages"))
+    pages.write.format("warc").mode("append").save(folder)
+    drop(pages)
     # the record type is pushed down: each read skips the other's members, and revisits need their headers only
     whole = spark.read.format("warc").load(folder).where("record_type = 'response'")
     again = spark.read.format("warc").option("payload", "false").load(folder).where("record_type = 'revisit'")
