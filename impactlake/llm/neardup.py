@@ -15,7 +15,8 @@
 
 A null or empty text has an empty set and is linked with nothing; with fewer words than a shingle
 the whole sequence is one.  Rows without an id are linked with nothing, have a null
-component and are kept.  Rows that repeat an id are one document.  An empty table gives no rows.
+component and are kept.  Rows that repeat an id are one document in the links; where their texts differ, every
+row counts its own shingles and the links follow one of the texts.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -211,8 +212,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     tagged = written(feats.join(again, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(known & (F.coalesce("rep", "doc_id") == F.col("doc_id")), F.col("bands")).alias("bands")))
     drop(feats)
     spread = tagged.where("bands is not null").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
-    members = written(spread.join(shared, "key").select("key", "doc", "n"))
+    shared = spread.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key", F.col("lo").alias("lead"))
+    members = written(spread.join(shared, "key").select("key", "doc", "n", "lead"))
     involved = written(members.select("doc").distinct())
     # Spark broadcasts the ids only if their file is small, and shuffles otherwise
     sets = written(_sets(docs.select("doc_id", "text").join(involved.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"), rule).dropDuplicates(["doc"]), "lz4")
@@ -228,8 +229,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         return out
 
     # every member against the leader of its bucket
-    leader = members.groupBy("key").agg(F.min("doc").alias("ldoc"))
-    pairs = members.join(leader, "key").where("doc <> ldoc").select(F.col("ldoc").alias("a"), F.col("doc").alias("b"))
+    pairs = members.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"))
     done = written(pairs.distinct())
     if not done.isEmpty():
         roots = joined(_verified(done, sets, rule))
@@ -257,7 +257,10 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, with their component, and the bucket's size and smallest set."""
     placed = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("root", "doc").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.min("n").alias("least_n")).where("lo < hi").select("key", "size", "least_n")
-    return written(placed.join(mixed, "key"))
+    mixed = written(mixed)  # a table whose size Spark knows: few buckets are broadcast, and no large bucket is dealt to one task
+    out = written(placed.join(mixed, "key"))
+    drop(mixed)
+    return out
 
 
 def _rare(sets: DataFrame) -> DataFrame:
