@@ -8,8 +8,8 @@ even share, so counts differ by one at most (the law `rows`); with more slack fe
 the number of shards changes.
 
 A null text has no bytes.  A null doc_id is a key like any other.  Equal keys share an arc and are told
-apart by rank, ties by text checksum, so repeated rows fill distinct slots.  An empty table gives no
-rows.  Other columns are passed through unless they bear the name of an added one.
+apart by rank, ties by text checksum and size, so repeated rows fill distinct slots; one task ranks the rows of an arc, so
+keys should tell rows apart.  An empty table gives no rows.  Other columns are passed through unless they bear the name of an added one.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import read
+from ._common import fresh, read, ship
 
 
 def ring(shards: int, points: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +64,9 @@ def follow(counts: np.ndarray, shard: np.ndarray, shards: int, slack: float) ->
 def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 40, points: int = 64, slack: float = 0.0) -> DataFrame:
     """Adds size, text_crc32, shard and slot to every row (the text itself is left out)."""
     spark = df.sparkSession
+    ship(spark)
     at, owner = ring(shards, points)
+    arc, mark, rank, lo, hi, first = fresh(df, "_arc", "_hash", "_rank", "_from", "_to", "_slot")
 
     @F.pandas_udf("int")
     def arc_of(h: pd.Series) -> pd.Series:
@@ -74,21 +76,22 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     counts = np.zeros(len(at), np.int64)
     for row in df.select(arc_of(hashed).alias("arc")).groupBy("arc").count().collect():  # at most shards x points rows
         counts[row["arc"]] = row["count"]
-    plan = spark.createDataFrame(follow(counts, owner, shards, slack), "_arc int, _from long, _to long, shard int, _slot long")
+    plan = spark.createDataFrame(follow(counts, owner, shards, slack), f"{arc} int, {lo} long, {hi} long, shard int, {first} long")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
         key,
         *[c for c in df.columns if c.lower() not in {key.lower(), text.lower(), "size", "text_crc32", "shard", "slot", "law", "grown_shard"}],
         (F.octet_length(body) + 16).cast("long").alias("size"),
         F.crc32(body).cast("long").alias("text_crc32"),
-        hashed.alias("_hash"),
-        arc_of(hashed).alias("_arc"),
+        hashed.alias(mark),
+        arc_of(hashed).alias(arc),
     )
-    within = Window.partitionBy("_arc").orderBy(F.col("_hash").cast("decimal(20,0)"), key, "text_crc32")
-    ranked = rows.withColumn("_rank", F.row_number().over(within) - 1)
+    # rows of one key may only differ in their text: its checksum and size decide, so that a repeated task gives the same ranks
+    within = Window.partitionBy(arc).orderBy(F.col(mark).cast("decimal(20,0)"), key, "text_crc32", "size")
+    ranked = rows.withColumn(rank, F.row_number().over(within) - 1)
     # the plan has at most (shards x points) + (overflowing arcs x shards) rows, whatever the input: safe to broadcast
-    placed = ranked.join(F.broadcast(plan), "_arc").where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    return placed.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_from")).drop("_arc", "_hash", "_rank", "_from", "_to", "_slot")
+    placed = ranked.join(F.broadcast(plan), arc).where((F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi)))
+    return placed.withColumn("slot", F.col(first) + F.col(rank) - F.col(lo)).drop(arc, mark, rank, lo, hi, first)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
