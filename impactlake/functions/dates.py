@@ -26,3 +26,8 @@ def any_date(c: Column) -> Column:
 
 def in_scope(date: Column, status: Column, least: str = "2011-01-01") -> Column:
     return F.coalesce(date.isNotNull() & (status == "parsed") & (date >= F.lit(least).cast("date")), F.lit(False))
+
+
+def iso_text_in_scope(c: Column, least: str = "2011-01-01") -> Column:
+    """Whether an ISO date kept as text is not before `least`; such texts order as the dates do.  Null is not in scope."""
+    return F.coalesce(c >= F.lit(least), F.lit(False))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import presence, ratings, text, vehicles
-from ..operators import audit, canonical, ingest, reports
+from ..functions import ratings, text, vehicles
+from ..operators import audit, canonical, details, ingest
 from ..sources import files
 from .queries import L, lines, order_summary, query, t
 
@@ -26,8 +26,7 @@ def family_group_filter(spark, d):
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def configuration_whitelist(spark, d):
-    allowed = ["1_URGENT", "2_HIGH"]
-    return t(spark, d, "orders").where(text.code_value(F.col("o_orderpriority")).isin(allowed)).select("o_orderkey", "o_orderpriority")
+    return details.whitelisted(t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["1_URGENT", "2_HIGH"])
 
 
 @query("""SELECT v.field, count(*) AS n FROM (SELECT 'star' AS field FROM part WHERE p_size BETWEEN 0 AND 5 UNION ALL SELECT 'possibility' FROM part WHERE p_retailprice / 1000 < 1.0::DOUBLE AND p_retailprice > 0
@@ -41,55 +40,49 @@ def meaningful_values(spark, d):
 
 @query(f"SELECT DISTINCT o_orderkey FROM orders JOIN ({L}) ON l_orderkey = o_orderkey WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')")
 def evidence_overlap(spark, d):
-    return order_summary(spark, d).where(F.arrays_overlap("makes", F.array(*map(F.lit, ["Brand#1", "Brand#2", "Brand#3"])))).select("o_orderkey")
+    o = t(spark, d, "orders").select("o_orderkey")
+    return details.with_child(o, lines(spark, d).withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def report_assets(spark, d):
-    wanted = t(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t(spark, d, "lineitem").where("l_returnflag = 'R'").join(wanted, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
+    wanted = t(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
+    assets = t(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey")
+    return details.with_child(assets, wanted, "l_orderkey", F.expr("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'"))
 
 
 @query("""SELECT o_orderpriority AS endpoint, count(DISTINCT o_orderkey) AS payload_count, count(*) AS observation_count, min(CAST(l_shipdate AS DATE)) AS first_seen, max(CAST(l_shipdate AS DATE)) AS last_seen
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
 def observation_lookup(spark, d):
-    seen = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("l_shipdate").cast("date")).alias("lo"), F.max(F.col("l_shipdate").cast("date")).alias("hi"))
-    by = t(spark, d, "orders").select("o_orderkey", "o_orderpriority").join(seen, "o_orderkey").groupBy(F.col("o_orderpriority").alias("endpoint"))
-    return by.agg(F.count(F.lit(1)).alias("payload_count"), F.sum("n").alias("observation_count"), F.min("lo").alias("first_seen"), F.max("hi").alias("last_seen"))
+    seen = t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return details.observation_summary(t(spark, d, "orders"), seen, "o_orderkey", "o_orderpriority", F.col("l_shipdate").cast("date"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_suppkey, coalesce(s_name, 'unknown') AS source_name FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem) LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON s_suppkey = l_suppkey""")
 def source_lookup(spark, d):
     s = t(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
-    return rows.join(s, "l_suppkey", "left").select("l_orderkey", "l_linenumber", "l_suppkey", F.coalesce("s_name", F.lit("unknown")).alias("source_name"))
+    return details.named_sources(rows, s, "l_suppkey", "s_name").select("l_orderkey", "l_linenumber", "l_suppkey", "source_name")
 
 
 @query("""SELECT field_path, sum(seen)::BIGINT AS seen, sum(filled)::BIGINT AS filled FROM (SELECT event_type || '[*].k' AS field_path, 1 AS seen, CASE WHEN value > 10 THEN 1 ELSE 0 END AS filled FROM events WHERE event_type <> 'view') GROUP BY 1""")
 def unmapped_fields(spark, d):
-    path = F.regexp_replace(F.concat("event_type", F.lit("["), (F.col("event_id") % 3).cast("string"), F.lit("].k")), r"\[\d+\]", "[*]")
-    rows = t(spark, d, "events").where("event_type <> 'view'").select(path.alias("field_path"), F.when(F.col("value") > 10, 1).otherwise(0).alias("filled"))
-    return rows.groupBy("field_path").agg(F.count(F.lit(1)).alias("seen"), F.sum("filled").cast("long").alias("filled"))
+    path = F.concat("event_type", F.lit("["), (F.col("event_id") % 3).cast("string"), F.lit("].k"))
+    return details.path_rollup(t(spark, d, "events").where("event_type <> 'view'"), path, F.col("value") > 10)
 
 
 @query("""SELECT v.status, count(*) AS n, round_even(count(*)::DOUBLE / (SELECT count(*) FROM orders), 4) AS share FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'excluded' WHEN o_totalprice > 250000 THEN 'drift' ELSE 'live' END AS status FROM orders) v GROUP BY 1""")
 def validation_summary(spark, d):
-    from ..functions.numbers import ratio
-
-    o = t(spark, d, "orders")
     status = F.when(F.col("o_orderstatus") == "P", "excluded").when(F.col("o_totalprice") > 250000, "drift").otherwise("live")
-    total = o.agg(F.count(F.lit(1)).alias("_n"))
-    by = reports.distribution(o, status, "status")
-    return by.crossJoin(F.broadcast(total)).select("status", "n", ratio(F.col("n"), F.col("_n")).alias("share"))  # the right side is one row
+    return details.shares(t(spark, d, "orders"), status, "status")
 
 
 @query("""SELECT o_orderkey, l_linenumber, version FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, 'new' AS version FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2
     UNION ALL SELECT l_orderkey, l_linenumber, 'old' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2)""")
 def rebuild_tests(spark, d):
     rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").distinct()
-    again = t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
-    stale = rows.withColumn("version", F.lit("old")).join(again, "o_orderkey", "left_anti")
-    return stale.unionByName(rows.withColumn("version", F.lit("new")).join(again, "o_orderkey", "left_semi"))
+    again = t(spark, d, "orders").where("o_orderstatus = 'F'")
+    return details.rebuild(rows.withColumn("version", F.lit("old")), rows.withColumn("version", F.lit("new")), again, "o_orderkey")
 
 
 @query("SELECT n_nationkey, n_name, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS BIGINT) AS row_count FROM nation")
@@ -108,8 +101,7 @@ def metadata_flags(spark, d):
 def reference_bridge(spark, d):
     few = t(spark, d, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set(F.col("l_linenumber").cast("string"))).alias("refs"))
     o = t(spark, d, "orders").select("o_orderkey").join(few, "o_orderkey", "left")
-    n, names = F.size("refs"), F.array_join("refs", ", ")
-    return o.select("o_orderkey", F.when(F.col("refs").isNull(), "No reference test.").when(n == 1, F.concat(F.lit("Reference test "), names, F.lit("."))).otherwise(F.concat(F.lit("Reference tests "), names, F.lit("."))).alias("sentence"))
+    return o.select("o_orderkey", details.reference_sentence(F.col("refs")).alias("sentence"))
 
 
 @query("SELECT event_id, event_type AS identity_make, CAST(json_extract(props, '$.k') AS INTEGER) AS identity_year FROM events")
@@ -117,8 +109,8 @@ def find_identity(spark, d):
     """An identity object at any of the bounded depths of a payload."""
     wrapped = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"results":[{"VEHICLE":[{"MAKED":"'), "event_type", F.lit('","YEAR":'), F.get_json_object("props", "$.k"), F.lit("}]}]}"))).otherwise(F.concat(F.lit('{"results":[{"MAKED":"'), "event_type", F.lit('","YEAR":'), F.get_json_object("props", "$.k"), F.lit("}]}")))
     v = F.try_parse_json(wrapped)
-    at = F.coalesce(F.try_variant_get(v, "$.results[0].VEHICLE[0]", "variant"), F.try_variant_get(v, "$.results[0]", "variant"))
-    return t(spark, d, "events").select("event_id", presence.get(at, "MAKED").alias("identity_make"), presence.get(at, "YEAR", "int").alias("identity_year"))
+    found = details.identity(v, ["$.results[0].VEHICLE[0]", "$.results[0]"], {"identity_make": (("vehicleMake", "MAKED"), "string"), "identity_year": (("modelYear", "YEAR"), "int")})
+    return t(spark, d, "events").select("event_id", *found)
 
 
 @query("""SELECT value, full_count, db_count, status FROM (SELECT coalesce(a.v, b.v) AS value, coalesce(a.n, 0) AS full_count, coalesce(b.n, 0) AS db_count,
@@ -134,10 +126,8 @@ def coverage_lines(spark, d):
 @query("""SELECT 'lines' AS endpoint, count(*) AS expected, count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS found, count(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS missing FROM orders
     UNION ALL SELECT 'returns', count(*), count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')), count(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) FROM orders""")
 def endpoint_completeness(spark, d):
-    o = t(spark, d, "orders").select("o_orderkey")
-    li = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("r"))
-    j = o.join(li, "o_orderkey", "left")
-    return audit.union([j.agg(F.count(F.lit(1)).alias("expected"), F.count_if(hit).alias("found"), F.count_if(~hit).alias("missing")).withColumn("endpoint", F.lit(n)) for n, hit in (("lines", F.col("r").isNotNull()), ("returns", F.coalesce("r", F.lit(False))))])
+    o, li = t(spark, d, "orders"), t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return details.completeness(o, {"lines": li, "returns": li.where("l_returnflag = 'R'")}, "o_orderkey")
 
 
 @query("""SELECT p_partkey, array_to_string(list_filter([CASE WHEN regexp_matches(u, '\\bRED\\b') THEN 'red' END, CASE WHEN regexp_matches(u, '\\bRING\\b') THEN 'ring' END], lambda x: x IS NOT NULL), ',') AS said FROM (SELECT p_partkey, upper(p_name) AS u FROM part)""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, ratings, text, vehicles
-from ..operators import audit, canonical, linkage, planning, readmodel, reports
+from ..operators import audit, canonical, details, linkage, planning, readmodel, reports
 from .queries import RANKED, L, cents, lines, query, ranked, t
 
 
@@ -17,7 +17,7 @@ def participant_patterns(spark, d):
 
 @query("SELECT l_orderkey, l_returnflag, l_linestatus, count(*) AS asset_count FROM lineitem GROUP BY 1, 2, 3")
 def asset_kinds(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("asset_count"))
+    return details.kind_counts(t(spark, d, "lineitem"), "l_orderkey", "l_returnflag", "l_linestatus")
 
 
 @query("SELECT l_orderkey, count(*) AS row_count, count(*) FILTER (l_suppkey % 4 <> 0) AS assigned_count, count(*) FILTER (l_suppkey % 4 = 0 AND l_linenumber > 3) AS context_lost FROM lineitem GROUP BY 1")
@@ -161,7 +161,7 @@ def first_spec(spark, d):
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= '2000-01-01' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')")
 def resume(spark, d):
     have = t(spark, d, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return audit.missing(t(spark, d, "orders").where("o_orderdate >= '2000-01-01'").select("o_orderkey"), have, ["o_orderkey"])
+    return details.resume(t(spark, d, "orders").where("o_orderdate >= '2000-01-01'"), have, None, "o_orderkey")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN c_name ELSE 'own' END AS performer FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
@@ -214,8 +214,7 @@ def package_tests(spark, d):
 @query("SELECT code_set, count(*) AS value_count, sum(n)::BIGINT AS row_count FROM (SELECT 'brand' AS code_set, p_brand AS v, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'type', p_type, count(*) FROM part GROUP BY 2) GROUP BY 1")
 def code_coverage(spark, d):
     p = t(spark, d, "part")
-    values = readmodel.code_values([("brand", p, "p_brand", "p_partkey"), ("type", p, "p_type", "p_partkey")])
-    return values.groupBy("code_set").agg(F.count(F.lit(1)).alias("value_count"), F.sum("row_count").alias("row_count"))
+    return details.code_set_coverage(readmodel.code_values([("brand", p, "p_brand", "p_partkey"), ("type", p, "p_type", "p_partkey")]))
 
 
 @query("SELECT l_linenumber AS test_no FROM lineitem GROUP BY 1")
@@ -232,12 +231,44 @@ def shifted_rows(spark, d):
 @query("""SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'research' WHEN p_type IN ('SMALL', 'LARGE') THEN 'compliance' ELSE 'rating' END AS cohort,
     array_to_string(list_filter([CASE WHEN p_size > 25 THEN 'large' END, CASE WHEN p_brand = 'Brand#1' THEN 'first' END], lambda x: x IS NOT NULL), ',') AS flags FROM part""")
 def cohorts(spark, d):
-    table = F.create_map(*[F.lit(x) for kv in {"PROMO": "research", "SMALL": "compliance", "LARGE": "compliance"}.items() for x in kv])
+    cohort = details.by_table(F.col("p_type"), {"PROMO": "research", "SMALL": "compliance", "LARGE": "compliance"}, "rating")
     flags = text.compact(text.flag("large", F.col("p_size") > 25), text.flag("first", F.col("p_brand") == "Brand#1"))
-    return t(spark, d, "part").select("p_partkey", F.coalesce(table[F.col("p_type")], F.lit("rating")).alias("cohort"), F.array_join(flags, ",").alias("flags"))
+    return t(spark, d, "part").select("p_partkey", cohort.alias("cohort"), F.array_join(flags, ",").alias("flags"))
 
 
 @query("""SELECT CASE WHEN contains(upper(p_name), 'RING') THEN 'ring' WHEN contains(upper(p_name), 'GEAR') THEN 'gear' ELSE 'other' END AS bucket, count(*) AS n FROM part GROUP BY 1""")
 def configuration_bucket(spark, d):
     rules = [("ring", ["RING"]), ("gear", ["GEAR"])]
     return t(spark, d, "part").select(canonical.cascade(F.upper("p_name"), rules, "other").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_orderstatus, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate >= '1998-07-01' AND o_orderpriority = '1-URGENT'),
+    x AS (SELECT o_orderkey, o_orderstatus, c_name, l_linenumber AS n, l_partkey, l_suppkey, l_returnflag AS f, p_brand FROM s LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey)
+    SELECT o_orderkey, o_orderstatus, c_name, coalesce(string_agg(n || ':' || p_brand, ',' ORDER BY n, p_brand, l_partkey, l_suppkey), '') AS vehicles, coalesce(string_agg(DISTINCT f, ',' ORDER BY f), '') AS kinds,
+      count(n) AS asset_count, count(n) FILTER (f = 'R') AS return_count, coalesce(max(n), 0) AS last_line FROM x GROUP BY 1, 2, 3""")
+def nested_detail(spark, d):
+    """Tests with five nested child sets, read back as texts and counts."""
+    o = t(spark, d, "orders").where("o_orderdate >= '1998-07-01' and o_orderpriority = '1-URGENT'").join(t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "o_orderstatus", "c_name")
+    li = lines(spark, d).withColumnRenamed("l_orderkey", "o_orderkey")
+    out = details.detail(o, {
+        "vehicles": (li, ["l_linenumber", "p_brand", "l_partkey", "l_suppkey"]), "participants": (li.select("o_orderkey", "l_returnflag").distinct(), ["l_returnflag"]), "assets": (li, ["l_partkey"]),
+        "restraints": (li.where("l_returnflag = 'R'"), ["l_suppkey"]), "channels": (li, ["l_linenumber"]),
+    }, "o_orderkey")
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return out.select("o_orderkey", "o_orderstatus", "c_name", joined("vehicles", lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(":"), x["p_brand"])).alias("vehicles"), joined("participants", lambda x: x["l_returnflag"]).alias("kinds"),
+                      F.size("assets").cast("long").alias("asset_count"), F.size("restraints").cast("long").alias("return_count"), F.coalesce(F.array_max(F.transform("channels", lambda x: x["l_linenumber"])), F.lit(0)).alias("last_line"))
+
+
+@query("""WITH m AS (SELECT DISTINCT p_brand AS make, replace(upper(p_name), ' ', '-') AS api_model FROM part WHERE p_size % 2 = 0) SELECT p_partkey, api_model, 100 AS score, 1 AS match_rank FROM part JOIN m ON p_brand = make AND replace(upper(p_name), ' ', '-') = api_model""")
+def model_matches(spark, d):
+    """Every name finds its own spelling in the other list, and only that one."""
+    p = t(spark, d, "part").select("p_partkey", F.col("p_brand").alias("make"), F.col("p_name").alias("model"))
+    api = t(spark, d, "part").where("p_size % 2 = 0").select(F.col("p_brand").alias("make"), F.replace(F.upper("p_name"), F.lit(" "), F.lit("-")).alias("api_model"))
+    return details.model_matches(p, api, "p_partkey").where("score = 100")
+
+
+@query("""WITH r AS (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, o_orderdate, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM orders)
+    SELECT o_orderkey, y AS year FROM (SELECT *, k + CASE y WHEN 1995 THEN -30 WHEN 1996 THEN -10 WHEN 1997 THEN 15 ELSE 0 END AS lv FROM r) ORDER BY lv, o_orderdate, o_orderkey LIMIT 200""")
+def quota_pick(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), "o_orderdate")
+    return details.quota_pick(o, "year", ["o_orderdate", "o_orderkey"], {1995: 30, 1996: 20}, {1996: 10, 1997: 15}, 200).select("o_orderkey", "year")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, canonical, ingest, readmodel
+from ..functions import dates
+from ..operators import audit, canonical, details, ingest, readmodel
 from .queries import query, t
 
 # an occupant row a line item: some metrics filled, some empty, one null, one of no known code
@@ -86,3 +87,36 @@ def page_gaps_expected(spark, d):
 def list_total(spark, d):
     o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return readmodel.list_total(o, {"o_orderstatus": "F", "c_mktsegment": "BUILDING", "o_orderpriority": ""}, {})
+
+
+MANIFEST = [("Impactor into vehicle", "side_impactor"), ("ITV", "side_impactor"), ("Vehicle into barrier", "frontal_barrier"), ("VTB", "frontal_barrier"), ("Vehicle into pole", "pole"), ("VTP", "pole"), ("Vehicle into vehicle", "vehicle_to_vehicle"),
+            ("Sled rollover", "rollover"), ("Sled", "sled"), ("Low risk", "airbag_static_or_low_risk"), ("Lane departure warning", "non_crash_adas"), ("XITV", "unknown_or_other"), ("", "unknown_or_other")]
+
+
+@query(f"""SELECT family, count(*) AS n FROM (SELECT (list_value({", ".join(f"'{f}'" for _, f in MANIFEST)}))[CAST(o_orderkey % {len(MANIFEST)} AS INT) + 1] AS family FROM orders) GROUP BY 1""")
+def manifest_family(spark, d):
+    key = F.element_at(F.array(*[F.lit(x) for x, _ in MANIFEST]), (F.col("o_orderkey") % len(MANIFEST)).cast("int") + 1)
+    none = F.lit(None).cast("string")
+    return t(spark, d, "orders").select(details.manifest_family(key, none, F.lit("")).alias("family")).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, 'test_id=' || l_orderkey || '|vehicle_scope_key=' || l_linenumber || '|occupant_scope_key=LEFT FRONT|restraint_type_key=BELT|restraint_location_key=DASH ' || (l_suppkey % 5) || '|deployment_status_key=' || l_linestatus
+    || '|mount_or_system_key=' || upper(l_returnflag) AS legacy_key FROM lineitem""")
+def legacy_restraint_key(spark, d):
+    body = """'{"location": " dash  ' || (l_suppkey % 5) || '", "mount": "' || lower(l_returnflag) || '"}'"""
+    key = details.legacy_restraint_key(F.col("l_orderkey"), F.col("l_linenumber"), F.lit("left  front"), F.lit("Belt"), F.col("l_linestatus"), F.expr(f"parse_json({body})"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", key.alias("legacy_key"))
+
+
+@query("SELECT o_orderkey, c_name AS classification_c_name, c_mktsegment AS classification_c_mktsegment, n AS summary_n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def test_lookups(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    found = o.join(t(spark, d, "customer").where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "c_mktsegment")
+    counts = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    return details.with_lookups(o, "o_orderkey", classification=(found, ["c_name", "c_mktsegment"]), summary=(counts, ["n"])).drop("o_custkey")
+
+
+@query("SELECT count(*) AS n FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') >= '1997-01-01'")
+def iso_text_scope(spark, d):
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return t(spark, d, "orders").where(dates.iso_text_in_scope(iso, "1997-01-01")).agg(F.count(F.lit(1)).alias("n"))

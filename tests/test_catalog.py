@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from impactlake.operators import audit, canonical, ingest, linkage, merge, planning, readmodel
+from impactlake.operators import audit, canonical, details, ingest, linkage, merge, planning, readmodel
 from impactlake.sources import files, http, registry
 from impactlake.streaming import landing
 
@@ -154,6 +154,49 @@ def test_landed_files(spark, tmp_path):
     assert got["a.json"] and got["b.json"] is None
 
 
+def test_quota_pick_equals_the_walk(spark):
+    """One candidate at a time from the year furthest below its quota, then by date and number."""
+    import random
+
+    r = random.Random(2)
+    rows = [(i, r.choice([1999, 2000, 2001, 2002]), r.randint(1, 30)) for i in range(80)]
+    quota, prior = {1999: 5, 2000: 20, 2001: 9}, {2000: 7, 2002: 3}
+    left, counts, want = list(rows), dict(prior), []
+    for _ in range(45):
+        best = min(left, key=lambda x: (counts.get(x[1], 0) - quota.get(x[1], 0), x[2], x[0]))
+        left.remove(best)
+        counts[best[1]] = counts.get(best[1], 0) + 1
+        want.append(best[0])
+    d = spark.createDataFrame(rows, "test_no int, year int, day int")
+    assert [x["test_no"] for x in details.quota_pick(d, "year", ["day", "test_no"], quota, prior, 45).collect()] == want
+
+
+def test_rebuild_and_resume(spark):
+    rows = spark.createDataFrame([(1, "old"), (2, "old"), (3, "old")], "test_no int, v string")
+    fresh = spark.createDataFrame([(2, "new"), (2, "newer"), (9, "stray")], "test_no int, v string")
+    again = spark.createDataFrame([(2,), (3,)], "test_no int")
+    assert sorted(map(tuple, details.rebuild(rows, fresh, again, "test_no").collect())) == [(1, "old"), (2, "new"), (2, "newer")]
+    runs = spark.createDataFrame([(5, 1), (6, 900)], "test_no int, age int")
+    wanted = spark.createDataFrame([(i,) for i in (1, 5, 6, 7, 7)], "test_no int")
+    assert sorted(x[0] for x in details.resume(wanted, rows, runs, "test_no", F.col("age") > 600).collect()) == [6, 7]
+
+
+def test_model_matches(spark):
+    subjects = spark.createDataFrame([(1, "FORD", "F150"), (2, "FORD", "ZZZ"), (3, "FORD", "F150")], "id int, make string, model string")
+    models = spark.createDataFrame([("FORD", m) for m in ("F-150", "F150", "F150 XL", "FOCUS")] + [("RAM", "F150")] + [("FORD", f"F150 X{i}") for i in range(12)], "make string, api_model string")
+    got = sorted((x["id"], x["match_rank"], x["api_model"], x["score"]) for x in details.model_matches(subjects, models, "id").collect())
+    assert got == [(i, n, m, 100) for i in (1, 3) for n, m in ((1, "F150"), (2, "F-150"))]
+    close = details.model_matches(subjects, models.where("api_model like 'F150 X%'"), "id").where("id = 1")
+    assert close.count() == 8 and {x["score"] for x in close.collect()} == {76}
+
+
+def test_detail_of_tests_without_children(spark):
+    tests = spark.createDataFrame([(1,), (2,)], "test_no int")
+    kids = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (3, "x", 9)], "test_no int, name string, n int")
+    got = {x["test_no"]: [tuple(v) for v in x["kids"]] for x in details.detail(tests, {"kids": (kids, ["name", "n"])}, "test_no").collect()}
+    assert got == {1: [("a", 1), ("b", 2)], 2: []}
+
+
 def test_registry(spark):
     assert registry.endpoints(spark).count() == 21
     url = spark.range(1).select(registry.url_for("occupant_detail", "https://h/", test_no=F.lit(5), vehicle_no=F.lit(1), occupant_location=F.lit("LEFT FRONT"))).first()[0]
