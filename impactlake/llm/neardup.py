@@ -209,11 +209,14 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     known = F.col("n_shingles").__gt__(0) & F.col("doc_id").isNotNull()
     # one node for each distinct set; only sets that occur again need the join
     again = feats.where(known).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "rep")
+    again = written(again)  # tables of their own, so that Spark can split what joins them by a hot digest or bucket
     tagged = written(feats.join(again, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(known & (F.coalesce("rep", "doc_id") == F.col("doc_id")), F.col("bands")).alias("bands")))
-    drop(feats)
+    drop(feats, again)
     spread = tagged.where("bands is not null").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key", F.col("lo").alias("lead"))
+    shared = written(shared)
     members = written(spread.join(shared, "key").select("key", "doc", "n", "lead"))
+    drop(shared)
     involved = written(members.select("doc").distinct())
     # Spark broadcasts the ids only if their file is small, and shuffles otherwise
     sets = written(_sets(docs.select("doc_id", "text").join(involved.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"), rule).dropDuplicates(["doc"]), "lz4")
