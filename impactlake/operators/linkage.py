@@ -20,9 +20,30 @@ def key_ready(year: Column, make: Column, model: Column, least: int = 2011) -> C
     return F.when(year.isNull() | (year < least), "year_missing_or_old").when(blank(make), "make_missing").when(blank(model), "model_missing").otherwise("ready")
 
 
-def candidates(left: DataFrame, right: DataFrame, block: list[str], score: Column, least: int, key: list[str], order: list, most: int) -> DataFrame:
-    """Pairs within a block whose score reaches `least`; of each subject the best `most`, ranked."""
-    pairs = left.join(right, block).withColumn("score", score).where(F.col("score") >= least)
+def candidates(left: DataFrame, right: DataFrame, block: list[str], score: Column, least: int, key: list[str], order: list, most: int, reach: list[tuple[Column, Column]] | None = None) -> DataFrame:
+    """Pairs within a block whose score reaches `least`; of each subject the best `most`, ranked.
+
+    reach: what pairs must share to reach `least`, in one way or another: (array of values of the left row, value of the right row) for each way.
+    Pairs that share nothing are then never made, so a large block costs what its values have in common and not its square; null shares nothing.
+    Without it, all pairs of a block are scored."""
+    if reach:
+        ways = range(len(reach))
+        of = lambda i: lambda v: F.struct(F.lit(i).alias("_way"), v.cast("string").alias("_value"))
+        a = left.select("*", *[F.array_distinct(x.cast("array<string>")).alias(f"_l{i}") for i, (x, _) in enumerate(reach)])
+        cells = [F.coalesce(F.transform(f"_l{i}", of(i)), F.array().cast("array<struct<_way:int,_value:string>>")) for i in ways]
+        a = a.select("*", F.inline(F.concat(*cells)))
+        b = right.select("*", *[y.cast("string").alias(f"_r{i}") for i, (_, y) in enumerate(reach)])
+        b = b.select("*", F.inline(F.array(*[of(i)(F.col(f"_r{i}")) for i in ways])))
+        # a pair that meets in several ways counts in the first of them
+        shared = [F.coalesce(F.array_contains(f"_l{i}", F.col(f"_r{i}")), F.lit(False)) for i in ways]
+        first = F.lit(0)
+        for i in reversed(ways):
+            first = F.when(shared[i], i).otherwise(first)
+        made = a.join(b, [*block, "_way", "_value"]).where(F.col("_way") == first)
+        pairs = made.drop("_way", "_value", *[f"_{side}{i}" for side in "lr" for i in ways])
+    else:
+        pairs = left.join(right, block)
+    pairs = pairs.withColumn("score", score).where(F.col("score") >= least)
     w = Window.partitionBy(*key).orderBy(F.desc("score"), *order)
     return pairs.withColumn("candidate_rank", F.row_number().over(w)).where(F.col("candidate_rank") <= most)
 

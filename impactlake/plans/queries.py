@@ -528,7 +528,9 @@ def ranked(spark, d) -> DataFrame:
     a = p.toDF("subject", "p_brand", "an", "p_type", "asz")
     b = p.toDF("candidate", "p_brand", "bn", "p_type", "bsz")
     score = F.when(F.col("an") == F.col("bn"), 20).otherwise(0) + F.when(F.col("asz") == F.col("bsz"), 5).otherwise(0) + F.when(F.abs(F.col("asz") - F.col("bsz")) <= 2, 10).otherwise(0)
-    out = linkage.candidates(a, b, ["p_brand", "p_type"], F.when(F.col("subject") != F.col("candidate"), score), 5, ["subject"], ["candidate"], 8)
+    # a score of 5 takes the same name or sizes at most 2 apart
+    reach = [(F.array("an"), F.col("bn")), (F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda x: F.col("asz") + x), F.col("bsz"))]
+    out = linkage.candidates(a, b, ["p_brand", "p_type"], F.when(F.col("subject") != F.col("candidate"), score), 5, ["subject"], ["candidate"], 8, reach)
     return out.select("subject", "candidate", F.col("bn").alias("signature"), "score", "candidate_rank")
 
 

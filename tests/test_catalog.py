@@ -232,3 +232,18 @@ def test_streaming_landing_is_idempotent(spark, tmp_path):
     landing.land(spark, src, store, ck)
     assert spark.read.parquet(f"{store}/payloads").count() == 2
     assert spark.read.parquet(f"{store}/observations").count() == 3
+
+
+def test_candidates_by_what_they_share(spark):
+    """Pairs met by shared values are those of the whole block, each once: nulls, repeated rows, a hot block, no rows."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["x", "x", "y", None]), rng.choice(["n1", "n2", "n3", None]), rng.choice([1, 2, 3, 6, 20, None])) for i in range(120)]
+    p = spark.createDataFrame([*rows, rows[0]], "id int, b string, n string, s int")
+    a, b = p.toDF("subject", "b", "an", "asz"), p.toDF("candidate", "b", "bn", "bsz")
+    score = F.when(F.col("an") == F.col("bn"), 20).otherwise(0) + F.when(F.abs(F.col("asz") - F.col("bsz")) <= 2, 10).otherwise(0)
+    near = F.transform(F.array(*[F.lit(x) for x in (-2, -1, 0, 1, 2, 2)]), lambda x: F.col("asz") + x)
+    reach = [(F.array("an"), F.col("bn")), (near, F.col("bsz"))]
+    get = lambda x, *r: sorted(map(repr, linkage.candidates(x, b, ["b"], score, 10, ["subject"], ["candidate"], 500, *r).select("subject", "candidate", "score", "candidate_rank").collect()))
+    whole = get(a)
+    assert len(whole) > 2000 and get(a, reach) == whole
+    assert get(a.limit(0), reach) == []
