@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bpe", "packing", "sharding", "fingerprint", "toxicity", "language", "warc", "neardup", "topk", "htmltext")
+MODULES = ("bpe", "packing", "sharding", "fingerprint", "toxicity", "language", "warc", "neardup", "topk", "htmltext", "linededup", "conversations", "whitening")
 
 
 def queries() -> dict:
