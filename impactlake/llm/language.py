@@ -6,15 +6,17 @@ log2((total + distinct) / distinct) bits and the next shorter context is asked (
 down to all 256 bytes alike.  The counts are frozen after learning, so the exact cost of every
 byte after every context is worked out once and laid in hash tables with one column a language;
 scoring a text looks up all its positions at once and adds the bits.  The language with the
-shortest code wins, ties by name, unless even its code is too long: text in no learnt language.
+shortest code wins, ties by name, however long its code is.
+
+Whether a text is in any learnt language at all is another question, which only the pipeline's stage asks: is even the shortest code too long?
 How long is told by the learnt languages' own texts: counts of one half of them are the model that
 costs the other half, and a bound is SLACK times the median cost a byte of a language's texts.  It
 is never below 4 bits (half of what the byte takes) nor above 8, the cost without any model; what a
 text has more than its bound must also exceed SPARE bits, for texts of a few letters.
 
-Learning uses at most `sample` documents a language (a documented bound): those of least hash;
-documents without lang, doc_id or text are not learnt from.  Texts that are null, have no letter or
-cost more than the bound get `und` and score 0; without any learnt language every text does.  Scores are the posterior of the
+Learning uses about `sample` distinct texts a language (a documented bound): those of least hash of id and text;
+documents without lang, doc_id or text are not learnt from.  Texts that are null or have no letter get `und` and score 0;
+without any learnt language every text does.  Scores are the posterior of the
 winner under equal priors.  Repeated rows get equal results; other columns pass through unless
 they bear the name of an added one.
 """
@@ -202,16 +204,16 @@ def own_costs(docs: DataFrame, model: Model) -> dict[str, float]:
     return out
 
 
-def fit(docs: DataFrame, sample: int = 1000) -> Model:
-    """docs: doc_id, text, lang of training rows.  At most about `sample` documents a language are learnt from."""
+def fit(docs: DataFrame, sample: int = 1000, bounded: bool = True) -> Model:
+    """docs: doc_id, text, lang of training rows.  At most about `sample` distinct texts a language are learnt from.
+
+    bounded: also work out what a text of a learnt language costs at most (`predict` with `known` needs it)."""
     ship(docs.sparkSession)
     named = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}  # a row a language
-    if not sizes:
-        return Model([], [], [])
-    share = {k: min(1.0, sample / v) for k, v in sizes.items()}
-    below = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(v * SLOTS))) for k, v in share.items()])
-    chosen = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) < below).select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"))
+    sizes = named.groupBy("lang").agg((F.least(F.lit(1.0), sample / F.count(F.lit(1))) * F.lit(float(SLOTS))).cast("long").alias("below"))
+    lots = named.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLOTS)).alias("lot"), F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"))
+    # rows that repeat would all be in or all be out: a text counts once
+    chosen = lots.join(sizes, "lang").where("lot < below").groupBy("lang", "text").agg(F.min("half").alias("half")).select("lang", "text", "half")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int], list[bytes]] = {}
@@ -238,15 +240,19 @@ def fit(docs: DataFrame, sample: int = 1000) -> Model:
     every, half = counts(table.column("c").to_numpy().astype(float)), counts(table.column("c0").to_numpy().astype(float))
     if not every:
         return Model([], [], [])
-    costs = own_costs(chosen.where("half = 1"), build(half)) if half else {}
     model = build(every)
-    model.bounds = np.array([np.clip(SLACK * costs.get(x, MOST), LEAST, MOST) for x in model.langs])
+    if bounded:
+        costs = own_costs(chosen.where("half = 1"), build(half)) if half else {}
+        model.bounds = np.array([np.clip(SLACK * costs.get(x, MOST), LEAST, MOST) for x in model.langs])
     return model
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Adds the language of every whole text (`und` for none that was learnt) and the winner's posterior."""
-    keep = extra_columns(docs, {lang, score})
+def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score", known: str | None = None) -> DataFrame:
+    """Adds the language of every whole text (`und` for null and letterless ones) and the winner's posterior.
+
+    known: the name of a boolean column to add: whether the text costs no more than a text of a learnt language does."""
+    added = [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()), *([T.StructField(known, T.BooleanType())] if known else [])]
+    keep = extra_columns(docs, {f.name for f in added})
     kept = docs.select(*keep)
     at = keep.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -256,19 +262,18 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
         for batch in slices(batches, at):
             texts = batch.column(at).to_pylist()
             lettered = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if m.langs else []
-            langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+            langs, scores, within = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
             if lettered:
                 coded = [texts[i].encode() for i in lettered]
                 bits = lengths(m, coded)
                 best = bits.argmin(axis=1)
-                known = rates(bits, coded) <= m.bounds[best]
                 post = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
-                for i, b, p, k in zip(lettered, best.tolist(), post.tolist(), known.tolist()):
-                    if k:
-                        langs[i], scores[i] = m.langs[b], min(1.0, p)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, lang, score])
+                for i, b, p, k in zip(lettered, best.tolist(), post.tolist(), (rates(bits, coded) <= m.bounds[best]).tolist()):
+                    langs[i], scores[i], within[i] = m.langs[b], min(1.0, p), k
+            cols = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *([pa.array(within, pa.bool_())] if known else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*keep, *(f.name for f in added)])
 
-    return kept.mapInArrow(tidy(run), T.StructType([*kept.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return kept.mapInArrow(tidy(run), T.StructType([*kept.schema.fields, *added]))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -276,26 +281,27 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit_tables(docs: DataFrame) -> Model:
-    return fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
+def fit_tables(docs: DataFrame, bounded: bool = True) -> Model:
+    return fit(docs.where(~held_out()).select("doc_id", "text", "lang"), bounded=bounded)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from rows that are not held out."""
     docs = read(spark, sf_dir, "documents")
-    model = fit_tables(docs)
+    model = fit_tables(docs, bounded=False)
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learnt; those without any letter and those in no learnt language (`und`) go.
+    """Documents in a language that was learnt; those without text or any letter and those that cost more than texts of the learnt languages go.
 
-    Where no language was learnt there is nothing to judge by, and every document stays."""
+    Where no language was learnt there is nothing to judge by, and every document stays.  Rows that repeat fare alike; null ids are
+    judged by their text as all others are, but not learnt from; columns come back as they were."""
     model = fit_tables(docs)
     if not model.langs:
         return docs
-    lang, own = fresh(docs, "_lang_pred", "_lang_score")
-    return predict(docs, model, lang=lang, score=own).where(F.col(lang) != "und").select(*docs.columns)
+    lang, own, known = fresh(docs, "_lang_pred", "_lang_score", "_lang_known")
+    return predict(docs, model, lang=lang, score=own, known=known).where(known).select(*docs.columns)
 
 
 QUERIES = {"op9_language": op9_language}

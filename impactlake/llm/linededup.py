@@ -147,7 +147,7 @@ class Runs:
         self._fs().delete(self._path(), True)
 
 
-def shared_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 8, fan: int = 4) -> DataFrame:
+def shared_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fan: int = 3) -> DataFrame:
     """hi and lo of the lines that at least min_docs rows hold, as a written table.
 
     The rows are dealt into `batches`, as they would arrive one after another; their texts are read once."""
@@ -220,10 +220,12 @@ def strip_lines(docs: DataFrame, bad: DataFrame, text: str = "text", id_: str =
             x, y = pairs(of), pairs(found)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(v[:, k]) for v in (x, y) for k in (0, 1)), pa.array(places, pa.list_(pa.int32()))], names=schema.names)
 
+    names, place = [*docs.columns, hi, lo], docs.columns.index(text)
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, docs.columns.index(text)):
-            x = pairs([xxhash.xxh3_128_digest((t or "").encode()) for t in part.column(docs.columns.index(text)).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(x[:, 0]), pa.array(x[:, 1])], names=[*docs.columns, hi, lo])
+        for part in slices(batches, place):
+            x = pairs([xxhash.xxh3_128_digest((t or "").encode()) for t in part.column(place).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(x[:, 0]), pa.array(x[:, 1])], names=names)
 
     # a line that a third of the documents hold is one key here: a skewed left side, which Spark splits
     hits = own.mapInArrow(tidy(split), schema).join(bad, ["hi", "lo"], "left_semi")

@@ -6,7 +6,7 @@ part).  Products of centred entries are split without error (TwoProduct by halve
 tree over the rows of a block and then block after block, all in double-double.  Tasks hand on high and low parts in chunks of
 cells, which are merged in double-double in two rounds; what reaches the driver is one number pair a pair of dimensions,
 whatever the table.  There the covariance is brought to tridiagonal form and solved by divide and conquer (LAPACK's syevd, which is
-what numpy's eigh calls), and the eigenvectors are refined once against high and low parts in extended precision.
+what numpy's eigh calls), and the eigenvectors are refined against high and low parts in extended precision.
 
 Rows whose vector is null, empty, or holds null or non-finite entries take no part and are not returned.  Vectors of another length are a
 space of their own with their own fit.  A component without variance (rank below the dimension, or rows that are all equal) has null for its
@@ -165,19 +165,19 @@ class Space:
     varies: int  # how many of the eigenvalues are above the rounding of the largest
 
 
-def eigen(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues, falling, and eigenvectors of the symmetric matrix hi + lo, refined once in extended precision."""
-    values, x = np.linalg.eigh(hi)
+def eigen(hi: np.ndarray, lo: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, falling, and eigenvectors of the symmetric matrix hi + lo, refined in extended precision (each round squares the error)."""
+    _, x = np.linalg.eigh(hi)
     x = x[:, ::-1].astype(np.longdouble)
     full = hi.astype(np.longdouble) + lo
-    r = np.eye(len(hi), dtype=np.longdouble) - x.T @ x
-    s = x.T @ (full @ x)
-    values = np.diag(s) / (1 - np.diag(r))
-    gap = values[None, :] - values[:, None]
-    small = 2 * (np.abs(s - np.diag(values)).max() + np.abs(values).max() * np.abs(r).max())
-    apart = np.abs(gap) > small
-    e = np.where(apart, (s + values[None, :] * r) / np.where(apart, gap, 1), r / 2)
-    x = x + x @ e
+    values = np.zeros(len(hi))
+    for _ in range(rounds):
+        r = np.eye(len(hi), dtype=np.longdouble) - x.T @ x
+        s = x.T @ (full @ x)
+        values = np.diag(s) / (1 - np.diag(r))
+        gap = values[None, :] - values[:, None]
+        apart = np.abs(gap) > 2 * (np.abs(s - np.diag(values)).max() + np.abs(values).max() * np.abs(r).max())
+        x = x + x @ np.where(apart, (s + values[None, :] * r) / np.where(apart, gap, 1), r / 2)
     order = np.argsort(-values, kind="stable")
     return values[order].astype(float), x[:, order].astype(float)
 

@@ -37,6 +37,7 @@ def documents():
     base = prose(r, 120)
     out += [(200 + i, base.replace("the", f"the{i}", 1), "en") for i in range(6)] + [(210, base, "en"), (211, base, None)]
     out += [(220, None, "en"), (221, "", None), (222, " \n\t", "en"), (223, "one two", "en"), (224, "ONE  two", "en"), (225, "12345 !!", "en"), (226, prose(r, 30000), "en"), (227, "x" * 50000, None), (228, "<|endoftext|> it's é中😀", "en")]
+    out += [(229, "Съешь ещё этих мягких французских булок", None), (230, "Ok", None), (231, base64.b64encode(r.randbytes(300)).decode(), None), (232, "日本語の文章です", None)]
     return out
 
 
@@ -60,7 +61,7 @@ def tables(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def nothing(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name, schema in (("documents", DOCS), ("labels", LABELS), ("pages", PAGES), ("embeddings", VECTORS)):
+    for name, schema in (("documents", DOCS), ("labels", LABELS), ("pages", PAGES), ("embeddings", VECTORS), ("conversations", "conv_id long, turn long, role string, text string, audit string")):
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
@@ -182,8 +183,7 @@ def test_op9(spark, tables):
         assert x["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= x["score"] <= 1 and x["lang_pred"] in ("en", "es", "und")
         if i < 150:
             assert x["lang_pred"] == lang
-        if not t or not any(c.isalpha() for c in t):
-            assert x["lang_pred"] == "und"
+        assert (x["lang_pred"] == "und") == (not t or not any(c.isalpha() for c in t))
 
 
 @pytest.mark.parametrize("name", sorted(llm.queries()))
