@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 
 from ._common import extra_columns, read
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+STOP = re.compile(r"""[>"']""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -39,6 +40,7 @@ RAW = {"script", "style", "title", "textarea", "iframe", "xmp", "noembed", "nofr
 GONE = {"button", "select", "option", "optgroup", "datalist", "head"}
 OWN = {"math", "svg", "object", "canvas", "audio", "video", "noscript"}  # in the line, but elements of their own: formulas, drawings, what stands in for media
 HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}  # anything else ends an open head
+CELL = {"td", "th", "table"}  # an inline end tag does not reach beyond these
 LOOSE = {"#", "html", "body"}  # a run of text that stands in these is an element of its own, "#text"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "legend", "head"}
@@ -52,6 +54,7 @@ BAD = {
     "side": {"sidebar", "side", "aside", "widget", "rail", "related", "recommended", "popular", "trending", "tags", "teaser", "promo", "more"},
     "ad": {"ad", "ads", "advert", "advertisement", "adslot", "banner", "sponsor", "sponsored", "dfp", "outbrain", "taboola", "commercial"},
     "notice": {"cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "alert", "newsletter", "subscribe", "subscription", "signup", "paywall", "banner"},
+    "line": {"byline", "author", "authors", "meta", "dateline", "posted", "published", "timestamp", "pubdate"},
     "talk": {"comment", "comments", "respond", "reply", "replies", "disqus", "discussion", "share", "sharing", "social", "form", "search", "login", "rating"},
 }
 LEX = {"advertisement", "sponsored", "cookie", "cookies", "subscribe", "newsletter", "copyright", "comments", "comment", "reply", "related", "share", "follow", "login", "menu", "privacy", "search", "rights", "reserved"}
@@ -73,11 +76,16 @@ class Page:
         return len(self.tag) - 1
 
     def _parse(self, source: str) -> None:
+        """Each place is looked at a bounded number of times: tags are scanned without going back (`Tags`), and what is
+        open is known by name, so no end tag walks the open elements."""
         stack: list[tuple[str, int]] = [("#", 0)]  # tag, the element that text goes to
+        open_: dict[str, list[int]] = {}  # places in the stack, by tag
+        blocks, cells = [0], [0]  # of open blocks, of open table cells and tables
         links = gone = run = 0
         at, n = 0, len(source)
         flow = self.flow
         lower = None
+        tags = Tags(source)
 
         def part() -> None:
             """A block ends or begins."""
@@ -85,15 +93,33 @@ class Page:
             flow.append(None)
             run = 0
 
+        def last(tag: str) -> int:
+            """The place of the innermost open one, 0 for none."""
+            places = open_.get(tag)
+            return places[-1] if places else 0
+
         def pop(to: int) -> None:
             nonlocal links, gone
             while len(stack) > to:
                 tag, _ = stack.pop()
+                open_[tag].pop()
                 links -= tag == "a"
                 gone -= tag in GONE
+                if tag in CELL:
+                    cells.pop()
                 if tag in BLOCK:
+                    blocks.pop()
                     part()
 
+        def push(tag: str, own: int) -> None:
+            place = len(stack)
+            stack.append((tag, own))
+            open_.setdefault(tag, []).append(place)
+            if tag in CELL:
+                cells.append(place)
+            if tag in BLOCK:
+                blocks.append(place)
+
         def text(s: str) -> None:
             nonlocal run
             if not s:
@@ -108,47 +134,28 @@ class Page:
             flow.append((own, links, markup.unescape(s) if "&" in s else s))
 
         while at < n:
-            m = TOKEN.search(source, at)
-            if not m:
-                text(source[at:])
-                break
-            if m.start() > at:
-                text(source[at : m.start()])
-            at = m.end()
-            tag = m[2] or m[5]
+            begin, end, tag, attrs, closes_it = tags.next(at)
+            text(source[at:begin])
+            at = end
             if not tag:
                 continue
-            tag = tag.lower()
-            if m[1] or m[4]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        pop(i)
-                        break
-                    if stack[i][0] in ("td", "th", "table") and tag not in BLOCK:
-                        break
-                else:
-                    if tag in BLOCK:
-                        part()
+            if closes_it:
+                place = last(tag)
+                if place and (tag in BLOCK or place > cells[-1]):
+                    pop(place)
+                elif tag in BLOCK:
+                    part()
                 continue
-            attrs = m[3] or m[6] or ""
             if stack[-1][0] == "head" and tag not in HEAD:
                 pop(len(stack) - 1)
-            if tag in ENDS_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        pop(i)
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
+            if tag in ENDS_P and (place := last("p")) and place == blocks[-1]:
+                pop(place)
             if tag in IMPLIED:
                 closes, walls = IMPLIED[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in walls:
+                while (place := max(map(last, closes))) > max(map(last, walls)):
+                    pop(place)
+                    if tag not in ("tr", "option"):
                         break
-                    if stack[i][0] in closes:
-                        pop(i)
-                        if tag not in ("tr", "option"):
-                            break
             if tag in BLOCK:
                 part()
             if tag in OWN and attrs.endswith("/"):
@@ -168,12 +175,55 @@ class Page:
             if tag in GONE:
                 gone += 1
             own = stack[-1][1]
-            if tag in BLOCK or tag in OWN or attrs and ("class" in attrs or "id=" in attrs or "role" in attrs or "hidden" in attrs):
+            if tag in BLOCK or tag in OWN or attrs and any(x in attrs for x in ("class", "id=", "role", "hidden", "display")):
                 own = self._open(tag, attrs, own)
-            stack.append((tag, own))
+            push(tag, own)
         pop(1)
 
 
+class Tags:
+    """Finds the tags of a page one after another, in time that grows with the page's length only."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")  # no tag ends beyond it
+        self.open = set()  # quotes from which no tag ends
+
+    def _end(self, at: int) -> int:
+        """Where the > of a tag is whose attributes begin at `at`: the first one outside quotes, or the first one if quotes are not closed."""
+        source, p, passed = self.source, at, []
+        while m := STOP.search(source, p):
+            q = m.start()
+            if source[q] == ">":
+                return q
+            if q in self.open:
+                break
+            passed.append(q)
+            p = source.find(source[q], q + 1) + 1
+            if not p:
+                break
+        self.open.update(passed)
+        return source.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool]:
+        """Begin and end of the next markup, its tag in lower case (empty for comments and the like), attributes, and whether it is an end tag."""
+        source, n = self.source, len(self.source)
+        while (lt := source.find("<", at)) >= 0:
+            at = lt + 1
+            if source.startswith("!--", at):
+                end = source.find("-->", lt + 4)
+                return lt, n if end < 0 else end + 3, "", "", False
+            closes = source.startswith("/", at)
+            name = NAME.match(source, at + closes) if at <= self.last else None
+            if name:
+                end = self._end(name.end())
+                return lt, end + 1, name[0].lower(), source[name.end() : end], closes
+            if source[at : at + 1] in ("!", "?", "/") and at < n:
+                end = source.find(">", at)
+                return lt, n if end < 0 else end + 1, "", "", False
+        return n, n, "", "", False
+
+
 def _tokens(attrs: str) -> tuple[set[str], bool]:
     words: set[str] = set()
     hidden = False
@@ -393,6 +443,8 @@ class _Maker:
         out = []
         if r.random() < 0.85:
             out.append(f"<h1>{self.words(2, 12)}</h1>")
+        if r.random() < 0.2:
+            out.append(self.drop(self.byline()))
         small, plain = r.random() < 0.25, r.random() < 0.2
         for _ in range(r.choice((0, 1, 1, 2, 3, 5, 8, 12, 20))):
             x = r.random()
@@ -417,24 +469,46 @@ class _Maker:
                 out.append(f"<figure>{r.choice(('<img src=x>', f'<svg viewBox=0><text>{self.words(1, 4)}</text></svg>'))}<figcaption>{self.words(3, 12)}</figcaption></figure>")
             elif x < 0.94:
                 out.append(f"<p>{self.prose(1, 2)} <math><mi>{self.word()}</mi><mo>=</mo><mn>{r.randint(1, 99)}</mn></math> {self.words(2, 9)}.</p>")
-            elif x < 0.95:
+            elif x < 0.945:
                 out.append(f"<object data=x>{self.prose(1, 2)}</object>")
-            elif x < 0.96:
+            elif x < 0.952:
                 out.append(f'<p><a href="/z">{self.words(2, 14)}{r.choice(("", ".", "?"))}</a></p>')
-            elif x < 0.97:
-                out.append(f"<section{self.attr('more', 'part', 'intro', 'details', 'notes', p=0.8)}><h2>{self.words(1, 6)}</h2>{''.join(f'<p>{self.prose(1, 6)}</p>' for _ in range(r.randint(1, 3)))}</section>")
-            elif x < 0.98:
+            elif x < 0.972:
+                out.append(f"<section{self.attr('more', 'more', 'more', 'part', 'intro', 'details', 'notes', p=0.8)}><h2>{self.words(1, 6)}</h2>{''.join(f'<p>{self.prose(1, 6)}</p>' for _ in range(r.randint(1, 3)))}</section>")
+            elif x < 0.975:
                 out.append(f"{self.prose(1, 4)}<br>{self.prose(0, 3)}")
             else:
                 out.append(self.drop(self.inner()))
+            if r.random() < 0.08:
+                out.append(self.drop(r.choice((self.unseen, self.inner, self.aside))()))
+        if r.random() < 0.25:
+            out.append(self.drop(f"<footer{self.attr('entry-footer', 'meta', 'tags', p=0.4)}>{self.prose(1, 2)}{self.links(0, 3, 'span')}</footer>"))
         return "".join(out)
 
+    def unseen(self) -> str:
+        """A part that a reader does not see."""
+        r = self.r
+        how = r.choice((" hidden", ' style="display:none"', ' style="display: none"', ' aria-hidden="true"', ' style="visibility:hidden"', ' hidden=""'))
+        t = r.choice(("div", "p", "section", "span"))
+        return f"<{t}{self.attr('text', 'note', 'content', p=0.3)}{how}>{self.prose(1, 4) if t in ('p', 'span') or r.random() < 0.5 else f'<p>{self.prose(1, 4)}</p>'}</{t}>"
+
+    def aside(self) -> str:
+        """A sidebar of prose."""
+        head = f"<h3>{self.words(1, 4)}</h3>" if self.r.random() < 0.4 else ""
+        return f'<aside{self.attr("related", "sidebar", "box", p=0.4)}>{head}<p>{self.prose(1, 5)}</p></aside>'
+
+    def byline(self) -> str:
+        r = self.r
+        said = f"{r.choice(('By', 'Von', 'Par', 'Posted by', ''))} {self.words(1, 3).title()}{r.choice(('', f', {r.randint(1, 28)} {self.word()} {r.randint(1999, 2030)}'))}"
+        return f"<{(t := r.choice(('p', 'div', 'span')))} class=\"{r.choice(('byline', 'author', 'meta', 'post-meta', 'dateline', 'entry-meta', 'published'))}\">{said}</{t}>"
+
     def inner(self) -> str:
         r = self.r
         return r.choice((
             lambda: f'<div class="{r.choice(("ad", "ads", "advert", "ad-slot", "sponsored", "promo"))}">{self.prose(1, 3)}</div>',
             lambda: f'<div class="{r.choice(("share", "social-share", "sharing"))}">{self.links(2, 5, "span")}</div>',
             lambda: f'<aside{self.attr("related", "sidebar", p=0.5)}>{self.words(1, 3)}<ul>{self.links(2, 6)}</ul></aside>',
+            self.aside,
             lambda: f'<div class="{r.choice(("newsletter", "subscribe"))}"><p>{self.prose(1, 2)}</p></div>',
         ))()
 
@@ -476,6 +550,8 @@ class _Maker:
             ends.append(f"<form{self.attr('search', 'login', 'signup', p=0.5)}><label>{self.words(1, 3)}</label><input><p>{self.words(1, 8)}</p></form>")
         if r.random() < 0.3:
             ends.append(f"<{(t := r.choice(('section', 'div')))} class=\"{r.choice(('related', 'more-stories', 'recommended'))}\"><h2>{self.words(1, 3)}</h2><ul>{self.links(2, 8)}</ul></{t}>")
+        if r.random() < 0.1:
+            (tops if r.random() < 0.5 else ends).append(self.unseen())
         r.shuffle(ends)
         if r.random() < 0.85:
             ends.append(f"<footer{self.attr('footer', p=0.3)}>&copy; {self.words(1, 3)} &middot; {self.prose(1, 2)}{self.links(0, 4, 'span')}</footer>" if r.random() < 0.75 else f'<div class="{r.choice(("footer", "copyright", "site-footer"))}"><p>&copy; {self.prose(1, 2)}</p></div>')

@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import random
+import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -586,6 +588,54 @@ def test_html_of_pages_of_another_make():
     assert found >= 0.97 * (found + lost) and extra <= 0.05 * found, (found, lost, extra)
 
 
+ARTICLE = "<h1>Floods close the old bridge</h1>{}<p>The river rose by two metres overnight, and the bridge was shut at dawn.</p>{}<p>Engineers will look at the piers on Monday, said the town, if the water falls.</p>{}"
+KEPT = "Floods close the old bridge\nThe river rose by two metres overnight, and the bridge was shut at dawn.\nEngineers will look at the piers on Monday, said the town, if the water falls."
+
+
+@pytest.mark.parametrize(
+    "place, part",
+    [
+        (1, '<div style="display:none">Secret hidden words, which no reader sees, stand here.</div>'),
+        (1, "<p hidden>Hidden by an attribute, with some words, and a comma.</p>"),
+        (1, '<div aria-hidden="true"><p>Hidden from readers of screens, but long enough to be prose.</p></div>'),
+        (1, "<aside><p>In other news, the museum has a new wing, which opens in May.</p></aside>"),
+        (1, '<aside class="box"><h3>Background</h3><p>The bridge was built in 1871, and it has been shut twice since.</p></aside>'),
+        (0, '<p class="byline">By Jane Doe, 3 May 2020</p>'),
+        (0, '<div class="post-meta">Posted by admin</div>'),
+        (2, "<footer>Filed under weather by the desk. All times are local.</footer>"),
+    ],
+)
+@pytest.mark.parametrize("frame", ["<body><nav><a href=/>Home</a></nav><main><article>{}</article></main><footer>(c) 2020</footer></body>", "<body><ul class=menu><li><a href=/>Home</a></ul><article>{}</article></body>"])
+def test_html_parts_of_an_article_that_are_not_of_it(place, part, frame):
+    page = frame.format(ARTICLE.format(*[part if i == place else "" for i in range(3)]))
+    assert htmltext.texts(htmltext.trained(), [page])[0] == KEPT
+
+
+@pytest.mark.parametrize("bits", [["<a "], ['<a "'], ["<a '\">"], ["<a \"'", ">"], ["<!-- "], ["<b>x ", "</i>"], ["<b>", "<table>", "</b>"], ["<b>", "<hr>"], ["<div>", "<li></li>"], ["<a ", "x='"], ["</a "], ["<![CDATA["]])
+def test_html_hostile_pages_take_linear_time(bits):
+    """A page of 1 MB is parsed in seconds, whatever is left open in it."""
+    share = 1_000_000 // len(bits)
+    page = "".join(b * (share // len(b) // (5 if b == "<li></li>" else 1)) for b in bits)
+    began = time.perf_counter()
+    htmltext.Page(page)
+    assert time.perf_counter() - began < 6  # 1 s or less on a machine that does nothing else
+
+
+def test_html_tags_end_as_a_pattern_says():
+    """The scanner against patterns that say the same (and may take quadratic time)."""
+    tag = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+    r = random.Random(8)
+    for _ in range(3000):
+        page = "".join(r.choice(["<p>", "<a x='", '<b "', "</i", ">", "'", '"', "<", "</", "<!", "<!--", "-->", "<?", " t ", "<br/>", "/"]) for _ in range(r.randint(0, 15)))
+        tags, at, got = htmltext.Tags(page), 0, []
+        while at < len(page):
+            begin, at, name, attrs, closes = tags.next(at)
+            if begin < len(page):
+                got.append((begin, at, name, attrs if name else "", closes if name else False))
+        want = [(m.start(), m.end(), (m[2] or m[5] or "").lower(), m[3] or m[6] or "", bool(m[1] or m[4])) for m in tag.finditer(page)]
+        assert got == want, page
+
+
 def test_html_decoding_is_the_best_of_all_labelings():
     r = np.random.default_rng(5)
     for _ in range(60):
