@@ -212,8 +212,8 @@ def fit(docs: DataFrame, sample: int = 1000, bounded: bool = True) -> Model:
     named = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     sizes = named.groupBy("lang").agg((F.least(F.lit(1.0), sample / F.count(F.lit(1))) * F.lit(float(SLOTS))).cast("long").alias("below"))
     lots = named.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLOTS)).alias("lot"), F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"))
-    # rows that repeat would all be in or all be out: a text counts once
-    chosen = lots.join(sizes, "lang").where("lot < below").groupBy("lang", "text").agg(F.min("half").alias("half")).select("lang", "text", "half")
+    # the sizes are a row a language, and the model has a column for each; rows that repeat would all be in or all be out: a text counts once
+    chosen = lots.join(F.broadcast(sizes), "lang").where("lot < below").groupBy("lang", "text").agg(F.min("half").alias("half")).select("lang", "text", "half")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int], list[bytes]] = {}
