@@ -46,6 +46,7 @@ INTRUSIONS = [Field("vehicle_no", ("vehicleNo", "VEHNO"), "int"), Field("measure
 # fixed values: codes of injury metrics and of deformation measurements
 INJURY_CODES = ["HIC", "CSI", "TTI", "LFEM", "RFEM", "LBELT", "SBELT"]
 DEFORMATION_CODES = ["DPD1", "DPD2", "DPD3", "DPD4", "DPD5", "DPD6", "DAMDST", "CRHDST", "PDOF", "VDI"]
+IMPACTOR_MAKE = "NHTSA"  # fixed value: the make that impactors are listed under
 PACKAGE_KEYS = {"udsFiles": "UDS", "evFiles": "EV", "abfFiles": "ABF", "isoFiles": "ISO", "tdmsFiles": "TDMS"}
 SECTIONS = {
     "tests": ["test_summary", "test_detail", "TEST"], "vehicles": ["vehicle_info", "vehicle_detail", "VEHICLE"], "barriers": ["barrier_info", "BARRIER"], "occupants": ["occupant_info", "occupant_detail", "OCCUPANT"],
@@ -120,15 +121,16 @@ def tests(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
     return all_.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def participants(vehicles: DataFrame, barriers: DataFrame, impactor_make: str | None = None) -> DataFrame:
-    """Vehicles (subjects and impactors) and barriers that take part in a test."""
-    v = vehicles.select("test_no", F.col("vehicle_no"), participant_kind(F.col("make"), F.col("model"), impactor_make).alias("kind"), F.concat_ws(" ", "make", "model").alias("name"))
-    b = barriers.select("test_no", F.lit(None).cast("int").alias("vehicle_no"), F.lit("barrier").alias("kind"), F.concat_ws(" ", "rigidity", "shape").alias("name"))
+def participants(vehicles: DataFrame, barriers: DataFrame, impactor_make: str | None = IMPACTOR_MAKE) -> DataFrame:
+    """Vehicles (subjects and impactors) and barriers that take part in a test, with the lineage that both tables have."""
+    lineage = [c for c in LINEAGE if c in vehicles.columns and c in barriers.columns]
+    v = vehicles.select("test_no", F.col("vehicle_no"), participant_kind(F.col("make"), F.col("model"), impactor_make).alias("kind"), F.concat_ws(" ", "make", "model").alias("name"), *lineage)
+    b = barriers.select("test_no", F.lit(None).cast("int").alias("vehicle_no"), F.lit("barrier").alias("kind"), F.concat_ws(" ", "rigidity", "shape").alias("name"), *lineage)
     return v.unionByName(b)
 
 
-def participant_kind(make: Column, model: Column, impactor_make: str | None = None) -> Column:
-    """Impactors by their model; with impactor_make only those of that make."""
+def participant_kind(make: Column, model: Column, impactor_make: str | None = IMPACTOR_MAKE) -> Column:
+    """Impactors by their model, of that make only (None: of any)."""
     hit = F.coalesce(F.upper(model).contains("IMPACTOR"), F.lit(False))
     if impactor_make:
         hit = hit & (F.upper(F.coalesce(make, F.lit(""))) == impactor_make.upper())

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -34,3 +35,14 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join(name, os.path.relpath(full, here)))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def workspace(spark: SparkSession) -> str:
+    """A fresh folder below the shared one that the cluster names in spark.checkpoint.dir; a local master without that setting gets a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/impactlake-{uuid.uuid4().hex}"
