@@ -51,13 +51,30 @@ def without_only(df: DataFrame, key: list[str], kind: str, value: str) -> DataFr
     return by.where(F.coalesce("_other", F.lit(False)) | (F.col("_n") == 0)).select(*key)
 
 
-def page_gaps(df: DataFrame, key: str, page: str, first: int = 0, most: Column | None = None, expected: DataFrame | None = None) -> DataFrame:
-    """Pages between the first and the last one seen that are not there; of a key of `expected` without any page the first one."""
-    seen = df.select(key, page).distinct()
-    span = seen.groupBy(key).agg(F.max(page).alias("_last"))
+def page_gap_ranges(df: DataFrame, key: str, page: str, first: int = 0, most: Column | None = None, expected: DataFrame | None = None) -> DataFrame:
+    """Runs of pages that are not there (gap_from, gap_to), between the first page and the last one seen (or `most`); of a key of `expected`
+    without any page the first one.  A run is one row however long it is, so one wild page number makes no long array."""
+    seen = df.select(key, page).distinct().where(F.col(page) >= first)
+    before = F.lag(page).over(Window.partitionBy(key).orderBy(page))
+    gaps = seen.select(key, (F.coalesce(before, F.lit(first - 1)) + 1).alias("gap_from"), (F.col(page) - 1).alias("gap_to"))
+    if most is not None:
+        last = df.where(F.col(page).isNotNull()).groupBy(key).agg(F.max(most).alias("_most"), F.max(F.when(F.col(page) >= first, F.col(page))).alias("_last"))
+        gaps = gaps.withColumn("_most", F.lit(None).cast("long")).join(last.select(key, F.col("_most").alias("_m")), key).withColumn("gap_to", F.least("gap_to", "_m")).drop("_most", "_m")
+        gaps = gaps.unionByName(last.select(key, (F.coalesce("_last", F.lit(first - 1)) + 1).alias("gap_from"), F.col("_most").alias("gap_to")))
+    out = gaps.where(F.col("gap_from") <= F.col("gap_to"))
     if expected is not None:
-        span = expected.select(key).distinct().join(span, key, "left").withColumn("_last", F.coalesce("_last", F.lit(first)))
-    return span.select(key, F.explode(F.sequence(F.lit(first), F.col("_last") if most is None else most)).alias(page)).join(seen, [key, page], "left_anti")
+        out = out.unionByName(expected.select(key).distinct().join(df.select(key), key, "left_anti").select(key, F.lit(first).alias("gap_from"), F.lit(first).alias("gap_to")))
+    return out
+
+
+def page_gaps(df: DataFrame, key: str, page: str, first: int = 0, most: Column | None = None, expected: DataFrame | None = None, chunk: int = 4096) -> DataFrame:
+    """Pages between the first and the last one seen that are not there, one a row; of a key of `expected` without any page the first one.
+
+    A long run is cut into pieces of `chunk` pages before it is written out page by page."""
+    runs = page_gap_ranges(df, key, page, first, most, expected)
+    pieces = runs.select(key, "gap_to", F.explode(F.sequence(F.col("gap_from").cast("long"), F.col("gap_to").cast("long"), F.lit(chunk).cast("long"))).alias("_lo"))
+    kind = df.schema[page].dataType
+    return pieces.select(key, F.explode(F.sequence("_lo", F.least(F.col("_lo") + chunk - 1, F.col("gap_to").cast("long")))).alias(page)).withColumn(page, F.col(page).cast(kind))
 
 
 def coverage(full: DataFrame, ours: DataFrame, value: str) -> DataFrame:
@@ -106,19 +123,19 @@ def promotion_score(support: Column, filled: Column, stability: Column, distinct
 
 def recommendation(
     support: Column, filled: Column, stability: Column, distinct: Column, distinct_ratio: Column, *,
-    semantic: Column, mapped: Column, raw_only: Column, identifier: Column, conflict: Column, numeric: Column, domain: Column, facet: Column, engineering: Column,
+    semantic: Column, mapped: Column, raw_only: Column, identifier: Column, conflict: Column, numeric: Column, domain: Column, facet: Column, engineering: Column, extra: Column | None = None,
     least_filled: float = 0.10, most_distinct_ratio: float = 0.25,
 ) -> Column:
     """What to do with a field, as priority:class; first rule wins.
 
     The flags tell what the field is: part of the scope or the semantic identity, mapped, link or comment, identifier, in conflict, a
-    measurement, of a coded domain, a filter of the user, of an engineering endpoint."""
+    measurement, of a coded domain, a filter of the user, of an engineering endpoint; extra: kept in a column for the rest, which comes before identifiers."""
     strong = support & (filled >= least_filled) & (stability >= 0.95)
     dictionary = distinct.between(2, 100) & (distinct_ratio <= most_distinct_ratio)
     # fixed values: the classes, their priorities and their order
     return (
         F.when(conflict & semantic, "P0:semantic_key_candidate")
-        .when(mapped, "P3:raw_only_no_action")
+        .when(mapped if extra is None else mapped | extra, "P3:raw_only_no_action")
         .when(identifier, "P3:identifier_no_action")
         .when(raw_only, "P3:raw_only_no_action")
         .when(conflict, "P1:conflict_resolution_candidate")
@@ -133,6 +150,36 @@ def recommendation(
     )
 
 
+# fixed values: what tells the kinds of fields apart, by the lower-cased last name of a path (facets and the identity: by the whole path)
+IDENTIFIERS = ["testno", "vehicleno", "curveno", "tstref", "testreferenceno", "id", "rowid", "url", "hash", "path"]
+IDENTIFIER_ENDS = ["url", "hash", "path", "id"]
+COMMENTS = ["files", "photos", "videos", "reports", "url", "information", "commentary"]
+MEASUREMENTS = ["numberoffirstpoint", "numberoflastpoint", "timeincrement", "speed", "weight", "length", "width", "height", "hic", "criterion", "interval", "femur", "load", "metric", "value", "angle", "distance"]
+DOMAINS = [
+    "sensortype", "sensorattachment", "axisdirofsensor", "datameasurementunits", "datastatus", "channelstatus", "occupantlocation", "occupanttype", "restrainttype", "deployment", "barrierrigidity",
+    "rigidor deformablebarrier", "barriershape", "assetkind", "assetsubtype", "testconfigurationkey", "classificationstatus", "participantkind",
+]
+FACETS = ["make", "model", "year", "type", "configuration", "dummy", "position"]
+IDENTITY = ["scope", "semantic"]
+
+
+def field_flags(path: Column) -> dict[str, Column]:
+    """What the path of a field tells `recommendation` about it: semantic, identifier, raw_only, numeric, domain, facet."""
+    whole = F.lower(F.coalesce(path, F.lit("")))
+    name = F.substring_index(whole, ".", -1)
+
+    def holds(text_: Column, tokens: list[str]) -> Column:
+        out = F.lit(False)
+        for t in tokens:
+            out = out | text_.contains(t)
+        return out
+
+    ends = F.lit(False)
+    for t in IDENTIFIER_ENDS:
+        ends = ends | name.endswith(t)
+    return {"semantic": holds(whole, IDENTITY), "identifier": name.isin(IDENTIFIERS) | ends, "raw_only": holds(name, COMMENTS), "numeric": holds(name, MEASUREMENTS), "domain": holds(name, DOMAINS), "facet": holds(whole, FACETS)}
+
+
 def conflict_class(field: Column, a: Column, b: Column) -> Column:
     """The class of a conflict by its field and values, as priority:class; first rule wins."""
     n, m, name = a.try_cast("double"), b.try_cast("double"), F.lower(F.coalesce(field, F.lit("")))

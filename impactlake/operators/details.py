@@ -112,17 +112,22 @@ def detail(tests: DataFrame, children: Mapping[str, tuple[DataFrame, Sequence[st
     return out
 
 
-def model_matches(subjects: DataFrame, models: DataFrame, subject: str, make: str = "make", model: str = "model", name: str = "api_model", least: int = 76, most: int = 8) -> DataFrame:
-    """For each subject the models of its make whose names fit best: of one score only, at least `least`, at most `most`, short names first.
-
-    models: make and name, distinct; they are scored once for each distinct make and model of the subjects."""
-    asked = subjects.select(F.col(make).alias("_make"), F.col(model).alias("_model")).distinct()
-    pairs = asked.join(models.select(F.col(make).alias("_make"), F.col(name)).distinct(), "_make")
-    scored = pairs.withColumn("score", vehicles.model_name_score(F.col("_model"), F.col(name), F.col("_make"))).where(F.col("score") >= least)
-    best = scored.withColumn("_best", F.max("score").over(Window.partitionBy("_make", "_model"))).where("score = _best").drop("_best")
-    order = Window.partitionBy("_make", "_model").orderBy(F.length(name), name)
+def model_matches(subjects: DataFrame, models: DataFrame, subject: str, make: str = "make", model: str = "model", name: str = "api_model", least: int = 76, most: int = 8, year: str | None = None) -> DataFrame:
+    """For each subject the models of its make (and year) whose names fit best: of one score only, at least `least`, at most `most`, short names first.
+
+    A make counts under all its names, so match_make may differ from the subject's.  models: make, name and year if that is named; they are scored once
+    for each distinct make, year and model of the subjects."""
+    by = [make, *([year] if year else [])]
+    asked = subjects.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col(model).alias("_model")).distinct()
+    named = asked.withColumn("match_make", F.explode(vehicles.make_aliases(F.col("_0"))))
+    listed = models.select(text.squash(F.upper(make)).alias("match_make"), *([F.col(year).alias("_1")] if year else []), F.col(name)).distinct()
+    pairs = named.join(listed, ["match_make", *(["_1"] if year else [])])
+    scored = pairs.withColumn("score", vehicles.model_name_score(F.col("_model"), F.col(name), F.col("match_make"))).where(F.col("score") >= least)
+    own = [*[f"_{i}" for i in range(len(by))], "_model"]
+    best = scored.withColumn("_best", F.max("score").over(Window.partitionBy(*own))).where("score = _best").drop("_best")
+    order = Window.partitionBy(*own).orderBy(F.length(name), name, "match_make")
     kept = best.withColumn("match_rank", F.row_number().over(order)).where(F.col("match_rank") <= most)
-    return subjects.select(subject, F.col(make).alias("_make"), F.col(model).alias("_model")).join(kept, ["_make", "_model"]).select(subject, name, "score", "match_rank")
+    return subjects.select(subject, *[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col(model).alias("_model")).join(kept, own).select(subject, "match_make", name, "score", "match_rank")
 
 
 def quota_pick(df: DataFrame, bucket: str, order: list[str], quota: Mapping[object, int], prior: Mapping[object, int], take: int) -> DataFrame:

@@ -96,15 +96,16 @@ def unique_evidence(reports: DataFrame, candidates_: DataFrame, key: str, id_: s
 
 
 def enrich(df: DataFrame, csv: DataFrame, on: list[str], fallback: list[str], columns: list[str]) -> DataFrame:
-    """Columns of an external table by normal forms of `on`; where that finds nothing, by `fallback` (names of df; same places in csv)."""
+    """Columns of an external table by normal forms of `on`; where that finds no row, by `fallback` (names of df; same places in csv).
+
+    Of rows of the table with equal keys the least by `columns` counts (nulls first); a row that is found counts even if its columns are null."""
     norm = lambda d, names: [text.alnum(F.col(c).cast("string")).alias(f"_k{i}") for i, c in enumerate(names)]
-    one = csv.select(*norm(csv, on), *[F.col(c).alias(f"_x_{c}") for c in columns]).dropDuplicates([f"_k{i}" for i in range(len(on))])
     keys = [f"_k{i}" for i in range(len(on))]
+    one = csv.select(*norm(csv, on), F.struct(*columns).alias("_row")).groupBy(*keys).agg(F.min("_row").alias("_x"))
     a = df.select("*", *norm(df, on)).join(one, keys, "left").drop(*keys)
-    two = one.select(*keys, *[F.col(f"_x_{c}").alias(f"_y_{c}") for c in columns])
-    b = a.select("*", *norm(a, fallback)).join(two, keys, "left").drop(*keys)
-    found = F.col(f"_x_{columns[0]}").isNotNull()
-    return b.select(*[F.col(c) for c in df.columns], *[F.when(found, F.col(f"_x_{c}")).otherwise(F.col(f"_y_{c}")).alias(c) for c in columns])
+    b = a.select("*", *norm(a, fallback)).join(one.withColumnRenamed("_x", "_y"), keys, "left").drop(*keys)
+    found = F.coalesce("_x", "_y")  # a struct is null only where there was no row
+    return b.select(*[F.col(c) for c in df.columns], *[found[c].alias(c) for c in columns])
 
 
 def best_variant(df: DataFrame, key: str, score: str, order: list) -> DataFrame:

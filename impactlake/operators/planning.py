@@ -92,8 +92,8 @@ def authoritative(live: DataFrame, validated: DataFrame, key: str, columns: list
 
 
 def fill_absent(rows: DataFrame, seeds: DataFrame, on: str, columns: list[str]) -> DataFrame:
-    """Search rows with absent fields filled from seeds."""
-    s = seeds.select(on, *[F.col(c).alias(f"_{c}") for c in columns])
+    """Search rows with absent fields filled from seeds; of seeds with equal keys the least by `columns` counts (nulls first), so no row is repeated."""
+    s = seeds.groupBy(on).agg(F.min(F.struct(*columns)).alias("_seed")).select(on, *[F.col(f"_seed.{c}").alias(f"_{c}") for c in columns])
     out = rows.join(s, on, "left")
     return out.select(*[F.coalesce(F.nullif(c, F.lit("")), f"_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, ratings, text, vehicles
-from ..operators import audit, canonical, details, linkage, planning, readmodel, reports
+from ..operators import audit, canonical, details, linkage, planning, readmodel, reports, scoring
 from .queries import RANKED, L, cents, lines, query, ranked, t
 
 
@@ -259,12 +259,78 @@ def nested_detail(spark, d):
                       F.size("assets").cast("long").alias("asset_count"), F.size("restraints").cast("long").alias("return_count"), F.coalesce(F.array_max(F.transform("channels", lambda x: x["l_linenumber"])), F.lit(0)).alias("last_line"))
 
 
-@query("""WITH m AS (SELECT DISTINCT p_brand AS make, replace(upper(p_name), ' ', '-') AS api_model FROM part WHERE p_size % 2 = 0) SELECT p_partkey, api_model, 100 AS score, 1 AS match_rank FROM part JOIN m ON p_brand = make AND replace(upper(p_name), ' ', '-') = api_model""")
+NAME = "regexp_replace({}, '[^A-Z0-9]', '', 'g')"
+
+
+@query(f"""WITH own AS (SELECT p_partkey, p_brand AS make, p_size % 3 AS year, upper(CASE WHEN p_partkey % 3 = 0 THEN p_name || ' wagon' WHEN p_partkey % 3 = 1 THEN p_name ELSE split_part(p_name, ' ', 1) END) AS model FROM part),
+    api AS (SELECT DISTINCT p_brand AS make, p_size % 3 AS year, replace(upper(p_name), ' ', '-') || CASE WHEN p_size > 25 THEN '-S' ELSE '' END AS api_model FROM part),
+    k AS (SELECT DISTINCT make, year, model FROM own), p AS (SELECT k.*, api_model, {NAME.format("model")} AS a, {NAME.format("api_model")} AS b, list_distinct(list_filter(string_split_regex(model, '[^A-Z0-9]+'), lambda w: len(w) > 1)) AS x,
+      list_distinct(list_filter(string_split_regex(api_model, '[^A-Z0-9]+'), lambda w: len(w) > 1)) AS y FROM k JOIN api USING (make, year)),
+    s AS (SELECT *, CASE WHEN a = b THEN 100 WHEN starts_with(a, b) AND len(b) >= 4 THEN 86 WHEN starts_with(b, a) AND len(a) >= 2 THEN 76 WHEN len(list_intersect(x, y)) > 0 AND len(list_intersect(x, y)) = len(x) THEN 70
+      WHEN len(list_intersect(x, y)) > 0 AND len(list_intersect(x, y)) = len(y) THEN 76 ELSE 0 END AS score FROM p),
+    t AS (SELECT *, max(score) OVER (PARTITION BY make, year, model) AS best FROM s WHERE score >= 76), r AS (SELECT *, row_number() OVER (PARTITION BY make, year, model ORDER BY len(api_model), api_model) AS match_rank FROM t WHERE score = best)
+    SELECT p_partkey, upper(make) AS match_make, api_model, score, CAST(match_rank AS INTEGER) AS match_rank FROM own JOIN r USING (make, year, model) WHERE match_rank <= 8""")
 def model_matches(spark, d):
-    """Every name finds its own spelling in the other list, and only that one."""
-    p = t(spark, d, "part").select("p_partkey", F.col("p_brand").alias("make"), F.col("p_name").alias("model"))
-    api = t(spark, d, "part").where("p_size % 2 = 0").select(F.col("p_brand").alias("make"), F.replace(F.upper("p_name"), F.lit(" "), F.lit("-")).alias("api_model"))
-    return details.model_matches(p, api, "p_partkey").where("score = 100")
+    """Models of one list in another of the same make and year, whatever the score, with the cap."""
+    k = F.col("p_partkey") % 3
+    name = F.when(k == 0, F.concat("p_name", F.lit(" wagon"))).when(k == 1, F.col("p_name")).otherwise(F.split("p_name", " ")[0])
+    p = t(spark, d, "part").select("p_partkey", F.col("p_brand").alias("make"), (F.col("p_size") % 3).alias("year"), name.alias("model"))
+    long = F.concat(F.replace(F.upper("p_name"), F.lit(" "), F.lit("-")), F.when(F.col("p_size") > 25, "-S").otherwise(""))
+    api = t(spark, d, "part").select(F.col("p_brand").alias("make"), (F.col("p_size") % 3).alias("year"), long.alias("api_model"))
+    return details.model_matches(p, api, "p_partkey", year="year")
+
+
+def _score_case(rules, kind):
+    """The rules one by one as SQL: a list of (weight, reason), distinct by token and weight."""
+    def holds(a):
+        f, op, w = next((a[: a.find(c)], c, a[a.find(c) + 1 :]) for c in ":=#-" if c in a and a[: a.find(c)].replace("_", "").isalpha())
+        return {":": f"contains({f}, '{w}')", "=": f"{f} = '{w}'", "#": f"contains({NAME.format(f)}, '{w}')", "-": f"contains(replace({f}, ' ', ''), '{w}')"}[op]
+
+    return "[" + ", ".join(f"CASE WHEN ({' OR '.join(map(holds, when))}) AND contains(said, '{t}') THEN {{'i': {i * 10 + j}, 'n': {w}, 'why': '{kind}:{t.strip()}+{w}', 't': '{t}'}} END" for i, (when, tokens) in enumerate(rules) for j, (t, w) in enumerate(tokens)) + "]"
+
+
+CARS = ["Four Door Sedan", "two door coupe", "Five Door Hatchback", "THREE DOOR", "station  wagon", "Minivan", "Sport Utility", "Extended Cab Pickup", "4 Door Pickup", "truck", "Convertible", ""]
+TRUCKS = ["F-150 SuperCrew", "Ranger Super Cab", "Tundra Double Cab", "Colorado Regular Cab", "Prius", "A4"]
+DRIVES = ["AWD", "4x2", "4 X 2", "Front wheel", "RWD/Rear", "4-Wheel", ""]
+CABS = ["Crew", "King cab", "Regular", "", "Extended"]
+TEXTS = ["F-150 SUPER CREW PU/CC 4WD", "RANGER SUPERCAB PU/EC RWD", "4 DR SEDAN FWD", "2 DR COUPE 4-DR AWD", "5 HB HATCH HYBRID", "SW WAGON 4X2", "MINIVAN VAN", "SUV UTILITY AWD EV", "PU/RC REGULAR CAB", "MODEL C CONVERTIBLE", "PRIUS ELECTRIC HEV", "QUAD CAB EXTENDED CREWMAX", ""]
+PICK = {"body": (CARS, 1), "model": (TRUCKS, 2), "drive": (DRIVES, 3), "cab": (CABS, 5), "body_class": (["Pickup", "Hatchback/Liftback", "Wagon", "Coupe", "Sedan/Saloon", "SUV", ""], 7), "series": (["Quad Cab", "Wagon", "", "Double Cab"], 11), "trim": (["Hatch", "SuperCrew", ""], 13), "doors": (["4", "2", ""], 17), "electrification": (["HEV Hybrid", "BEV Electric", ""], 19), "fuel": (["Gasoline", "Electric"], 23), "said": (TEXTS, 29)}
+CAR_SQL = "SELECT p_partkey, '' AS second_fuel, " + ", ".join(f"regexp_replace(trim(upper([{', '.join(repr(v) for v in values)}][CAST((p_partkey // {step}) % {len(values)} AS INT) + 1])), '\\s+', ' ', 'g') AS {name}" for name, (values, step) in PICK.items()) + " FROM part"
+
+
+@query(f"""WITH c AS ({CAR_SQL}), r AS (SELECT p_partkey, list_filter({_score_case(scoring.BODY_RULES, "body")}, lambda x: x IS NOT NULL) AS b, list_filter({_score_case(scoring.DRIVE_RULES, "drive")}, lambda x: x IS NOT NULL) AS d,
+      CASE WHEN (contains(body, 'FOUR DOOR SEDAN') OR contains(body, '4 DOOR SEDAN')) AND (contains(said, '2-DR') OR contains(said, '2 DR') OR contains(said, 'COUPE')) THEN 1 ELSE 0 END AS neg4,
+      CASE WHEN (contains(body, 'TWO DOOR') OR contains(body, '2 DOOR')) AND (contains(said, '4-DR') OR contains(said, '4 DR') OR contains(said, 'SEDAN')) THEN 1 ELSE 0 END AS neg2, CASE WHEN contains({NAME.format("said")}, {NAME.format("model")}) THEN 1 ELSE 0 END AS named FROM c),
+    u AS (SELECT p_partkey, 'b' AS part, x.why, x.t, min(x.i) AS i, any_value(x.n) AS n FROM (SELECT p_partkey, unnest(b) AS x FROM r) GROUP BY 1, 2, 3, 4 UNION ALL SELECT p_partkey, 'd', x.why, x.t, min(x.i), any_value(x.n) FROM (SELECT p_partkey, unnest(d) AS x FROM r) GROUP BY 1, 2, 3, 4
+      UNION ALL SELECT p_partkey, 'e', 'neg:2dr-vs-4dr', '', 0, -18 FROM r WHERE neg4 = 1 UNION ALL SELECT p_partkey, 'f', 'neg:4dr-vs-2dr', '', 0, -18 FROM r WHERE neg2 = 1 UNION ALL SELECT p_partkey, 'g', 'model_text+4', '', 0, 4 FROM r WHERE named = 1)
+    SELECT part.p_partkey, CAST(coalesce(sum(n), 0) + CASE WHEN part.p_partkey % 3 = 0 THEN 2 WHEN part.p_partkey % 3 = 1 THEN 3 ELSE 0 END AS INTEGER) AS score, coalesce(string_agg(why, ',' ORDER BY part, i), '') AS reasons FROM part LEFT JOIN u ON u.p_partkey = part.p_partkey GROUP BY 1""".replace("ORDER BY part, i", "ORDER BY u.part, i"))
+def weighted_tokens(spark, d):
+    """Scores and reasons of descriptions by what is known of body, cab, drive and fuel."""
+    k = F.col("p_partkey")
+    known = {name: F.element_at(F.array(*map(F.lit, values)), (F.floor(k / step) % len(values)).cast("int") + 1) for name, (values, step) in PICK.items()}
+    said = known.pop("said")
+    total, reasons = scoring.score(known, said, F.when(k % 3 == 0, "direct").when(k % 3 == 1, "vpic_model").otherwise("list"))
+    return t(spark, d, "part").select("p_partkey", total.alias("score"), F.array_join(reasons, ",").alias("reasons"))
+
+
+PATHS = ["vehicle.testNo", "a.rowId", "photoUrl", "videos", "commentary", "vehicleSpeed", "timeIncrement", "sensorType", "occupant.occupantLocation", "modelYear", "scope.makeName", "semantic.hash", "plain", "vehicleWidth"]
+PATH_SQL = f"[{', '.join(repr(p) for p in PATHS)}][CAST(event_id % {len(PATHS)} AS INT) + 1]"
+
+
+def _any(text_, tokens):
+    return "(" + " OR ".join(f"contains({text_}, '{x}')" for x in tokens) + ")"
+
+
+@query(f"""SELECT path, CASE WHEN conflict AND {_any("whole", audit.IDENTITY)} THEN 'P0:semantic_key_candidate' WHEN k = 1 OR k = 2 THEN 'P3:raw_only_no_action' WHEN name IN ({", ".join(repr(x) for x in audit.IDENTIFIERS)}) OR regexp_matches(name, '(url|hash|path|id)$') THEN 'P3:identifier_no_action'
+      WHEN {_any("name", audit.COMMENTS)} THEN 'P3:raw_only_no_action' WHEN conflict THEN 'P1:conflict_resolution_candidate' WHEN {_any("name", audit.MEASUREMENTS)} THEN 'P2:numeric_measurement_column_candidate' WHEN {_any("name", audit.DOMAINS)} THEN 'P2:code_values_candidate'
+      ELSE 'P2:dictionary_candidate' END AS recommendation, count(*) AS n FROM (SELECT *, lower(path) AS whole, lower(regexp_extract(path, '[^.]*$')) AS name, event_id % 5 AS k, event_id % 7 = 0 AS conflict FROM (SELECT event_id, {PATH_SQL} AS path FROM events)) GROUP BY 1, 2""")
+def field_recommendations(spark, d):
+    """What to do with fields by what their paths say, beside what is known of them; the rest column comes before identifiers."""
+    k, path = F.col("event_id"), F.element_at(F.array(*map(F.lit, PATHS)), (F.col("event_id") % len(PATHS)).cast("int") + 1)
+    yes = F.lit(True)
+    e = t(spark, d, "events").select("event_id", path.alias("path"))
+    rec = audit.recommendation(yes, F.lit(1.0), F.lit(1.0), F.lit(5), F.lit(0.1), mapped=k % 5 == 1, extra=k % 5 == 2, conflict=k % 7 == 0, engineering=~yes, **audit.field_flags(F.col("path")))
+    return e.select("path", rec.alias("recommendation")).groupBy("path", "recommendation").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH r AS (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, o_orderdate, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM orders)

@@ -26,11 +26,13 @@ def write_markdown(df: DataFrame, path: str, title: str, limit: int = 1000) -> N
 
 
 def cached(requests: DataFrame, cache: DataFrame, key: str = "url", response: str = "response") -> DataFrame:
-    """Requests with the stored response and whether there is one; requests are asked once each."""
-    stored = cache.select(key, response).dropDuplicates([key]).withColumn("hit", F.lit(True))
+    """Requests with the stored response and whether there is one; requests are asked once each, and of several stored responses the least counts (nulls first)."""
+    stored = cache.groupBy(key).agg(F.min(F.struct(response)).alias("_r")).select(key, F.col(f"_r.{response}").alias(response), F.lit(True).alias("hit"))
     return requests.select(key).distinct().join(stored, key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def remembered(cache: DataFrame, fetched: DataFrame, key: str = "url") -> DataFrame:
-    """The cache with responses that it lacked; what is stored stays."""
-    return cache.unionByName(fetched.select(*cache.columns).dropDuplicates([key]).join(cache.select(key), key, "left_anti").select(*cache.columns))
+    """The cache with responses that it lacked; what is stored stays, and of several fetched rows the least by their other columns comes in."""
+    others = [c for c in cache.columns if c != key]
+    one = fetched.groupBy(key).agg(F.min(F.struct(*others)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in others])
+    return cache.unionByName(one.join(cache.select(key), key, "left_anti").select(*cache.columns))
