@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,12 +30,17 @@ def in_scope(rows: DataFrame, least: str = LEAST) -> DataFrame:
     return rows.join(inside, "test_no", "left_semi")
 
 
-def derive(rows: DataFrame, tables: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
-    """The canonical tables of exploded rows (test_no, lineage, data), entities merged."""
-    out = canonical.tables(rows)
-    for table, spec in keys.SPECS.items():
-        out[table] = keys.merged(keys.with_parts(out[table], table), spec, priority(F.col("endpoint_name")))
-    return {name: out[name] for name in tables}
+def derive(rows: DataFrame, tables: tuple[str, ...] = TABLES, kept: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> dict[str, DataFrame]:
+    """The canonical tables of exploded rows (test_no, lineage, data), entities merged.
+
+    kept: may write a projected table and read it back, as the merge reads it several times."""
+    every = canonical.tables(rows)
+    out = {}
+    for name in tables:
+        out[name] = every[name]
+        if spec := keys.SPECS.get(name):
+            out[name] = keys.merged(kept(keys.with_parts(every[name], name), name), spec, priority(F.col("endpoint_name")))
+    return out
 
 
 class Catalog:
@@ -58,8 +64,14 @@ class Catalog:
         stage = f"{self.folder}/_rows/{uuid.uuid4().hex}"
         some = payloads.join(asked, "test_no", "left_semi").select("payload_id", "endpoint_name", "test_no", "payload")
         ingest.exploded_rows(some).write.parquet(stage)
-        fresh = derive(in_scope(self.spark.read.parquet(stage), least), tuple(self.tables))
+
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{stage}-{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{stage}-{name}")
+
+        fresh = derive(in_scope(self.spark.read.parquet(stage), least), tuple(self.tables), kept)
         versions = {name: store.replace(asked, fresh[name]) for name, store in self.tables.items()}
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(stage)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        for name in (stage, *(f"{stage}-{t}" for t in self.tables)):
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
         return versions

@@ -9,6 +9,7 @@ from .. import session
 from ..functions import presence
 from ..operators import descent, paging, rebuild, validation
 from ..sources import store
+from ..streaming import catalog
 from .queries import lines, query, t
 
 # the events of a user in pages of eight, as an API gives them; some pages were never landed, some twice
@@ -77,11 +78,11 @@ def payloads(spark, d, make):
 
 
 def rebuilt_catalog(spark, d):
-    catalog = rebuild.Catalog(spark, session.workspace(spark), 16, ("vehicles",))
-    catalog.rebuild(payloads(spark, d, F.col("p_brand")), least="1995-01-01")
+    stored = rebuild.Catalog(spark, session.workspace(spark), 16, ("vehicles",))
+    stored.rebuild(payloads(spark, d, F.col("p_brand")), least="1995-01-01")
     again = t(spark, d, "orders").where("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("test_no"))
-    catalog.rebuild(payloads(spark, d, F.lit("AGAIN")), again, least="1997-01-01")
-    return catalog
+    stored.rebuild(payloads(spark, d, F.lit("AGAIN")), again, least="1997-01-01")
+    return stored
 
 
 # a decoy of another number first, a text that looks like the object, and the object 1 to 6 levels down; then one that comes too late
@@ -145,3 +146,17 @@ def validation_cascade(spark, d):
     dash = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
     tried = F.array_join(F.transform("attempted", lambda a: F.concat_ws(":", a["endpoint"], dash(a["http_status"]), dash(a["row_count"]))), ";")
     return out.select("test_no", "validation_status", "authority_status", "validation_endpoint", F.array_join("drift_fields", ",").alias("drift_fields"), tried.alias("attempted"))
+
+
+@query("""WITH e AS (SELECT event_type, event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS example FROM events), f AS (SELECT event_type, example, min(event_id) AS came FROM e WHERE example IS NOT NULL GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY came, example) AS n FROM f)
+    SELECT c.event_type, c.seen_count, c.non_null_count, c.first_seen, c.last_seen, (SELECT string_agg(example, '|' ORDER BY n) FROM r WHERE r.event_type = c.event_type AND n <= 5) AS examples
+    FROM (SELECT event_type, count(*) AS seen_count, count(example) AS non_null_count, min(event_id) AS first_seen, max(event_id) AS last_seen FROM e GROUP BY 1) c""")
+def incremental_catalog(spark, d):
+    """A stored catalog after three batches, of which the last holds the earliest events; a batch that comes again changes nothing."""
+    e = t(spark, d, "events").select("event_type", F.col("event_id").alias("at"), F.get_json_object("props", "$.k").alias("example")).withColumn("non_null", F.col("example").isNotNull())
+    table = store.Buckets(spark, session.workspace(spark), ["event_type"], 4)
+    for batch, part in enumerate((2, 1, 0)):
+        catalog.add(table, e.where(F.col("at") % 3 == part), "at", batch)
+        catalog.add(table, e.where(F.col("at") % 3 == part), "at", batch)
+    return catalog.examples(table.read()).withColumn("examples", F.array_join("examples", "|"))

@@ -80,19 +80,33 @@ class Buckets:
             raise FileNotFoundError(f"{self.folder} has no version")
         return self._read(manifest)
 
+    def of(self, keys: DataFrame) -> DataFrame | None:
+        """The buckets that `keys` fall into, all rows of them; None of a table without a version."""
+        manifest = self._manifest()
+        return self._read(manifest, self._touched(keys)) if manifest else None
+
+    def note(self) -> object:
+        """What the last change left in the manifest (for writers that must know whether they have been here)."""
+        return (self._manifest() or {}).get("note")
+
+    def _touched(self, keys: DataFrame) -> list[int]:
+        return sorted(r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect())  # at most one row a bucket
+
     def bucket(self) -> Column:
         """Null keys are a key of their own."""
         return F.pmod(F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in self.key]), F.lit(self.buckets)).cast("int")
 
     # --- changes -----------------------------------------------------------------------------------------------------
 
-    def _change(self, keys: DataFrame, rows: DataFrame, fold: Callable[[DataFrame], DataFrame]) -> int:
-        """Write the buckets of `keys` anew: what `fold` makes of their stored rows.  keys: the key columns; rows: a row of the table's form."""
+    def change(self, keys: DataFrame, rows: DataFrame, fold: Callable[[DataFrame], DataFrame], note: object = None) -> int:
+        """Write the buckets of `keys` anew: what `fold` makes of their stored rows.  keys: the key columns; rows: of the table's form (for a first version)."""
         have = self.versions()
         base, old = (have[-1], self._manifest(have[-1])) if have else (0, None)
-        touched = sorted(r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect())  # at most one row a bucket
-        if not touched:
+        touched = self._touched(keys)
+        if not touched and (note is None or old is None):
             return base
+        if not touched:
+            return self._swap(base, {**old, "note": note})
         stored = self._read(old, touched) if old else self.spark.createDataFrame([], rows.schema)
         result = fold(stored)
         schema = result.schema
@@ -103,7 +117,7 @@ class Buckets:
         made = {int(n.removeprefix(f"{part}=")) for n in self._names(name) if n.startswith(f"{part}=")}
         places = {b: p for b, p in (old["places"] if old else {}).items() if int(b) not in touched}
         places |= {str(b): f"{name}/{part}={b}" for b in made}
-        return self._swap(base, {"key": self.key, "buckets": self.buckets, "schema": json.loads(schema.json()), "places": places})
+        return self._swap(base, {"key": self.key, "buckets": self.buckets, "schema": json.loads(schema.json()), "places": places, "note": note})
 
     def _same(self, a: str, b: str, names: list[str]) -> Column:
         out = F.lit(True)
@@ -122,9 +136,9 @@ class Buckets:
             come = rows.alias("s").join(asked.alias("k"), self._same("s", "k", self.key), "left_semi")
             return stay.unionByName(come, allowMissingColumns=True)
 
-        return self._change(asked, rows, fold)
+        return self.change(asked, rows, fold)
 
-    def upsert(self, rows: DataFrame, unique: list[str] | None = None, order: list[str] | None = None) -> int:
+    def upsert(self, rows: DataFrame, unique: list[str] | None = None, order: list[str] | None = None, note: object = None) -> int:
         """Rows replace stored rows of equal `unique` columns (the table's key by default, which they must include); all others stay.
 
         Of incoming rows that are equal there the last by `order` counts (columns that are dropped from the table unless it has them)."""
@@ -141,7 +155,7 @@ class Buckets:
             stay = stored.alias("s").join(last.alias("n"), self._same("s", "n", names), "left_anti")
             return stay.unionByName(last, allowMissingColumns=True)
 
-        return self._change(last.select(*self.key).distinct(), last, fold)
+        return self.change(last.select(*self.key).distinct(), last, fold, note)
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete all versions but the last `keep`, and the files that no kept version names.  Not while a writer is at work."""
