@@ -134,7 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, z: float = 3.0,
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in got], pa.binary())], names=["toxic", "grams"])
 
     # at most 2 x sample rows of two numbers: safe to broadcast
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # a document that stands there many times gives one text, so that no more than 2 x sample reach what is collected below
+    joined = joined.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")).select("toxic", "text")
     rows = written(joined.mapInArrow(tidy(features), "toxic int, grams binary").distinct())  # copies of a text would pass for evidence
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

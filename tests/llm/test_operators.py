@@ -305,6 +305,17 @@ def test_toxicity_held_out(spark):
     assert all(zlib.crc32(str(d).encode()) % 3 == 1 for d in p[p.h].doc_id)
 
 
+def test_toxicity_learns_one_text_of_a_repeated_document(spark, monkeypatch):
+    held = []
+    plain = toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda rows, *a: held.append(len(rows)) or plain(rows, *a))
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["vile", "rotten"] if i % 2 else ["mild", "kind"]) + str(r.randint(0, 9)) for _ in range(20))) for i in range(40)]
+    rows += [(1, f"vile{i} rotten{i} " * 9) for i in range(500)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"), sample=20)
+    assert held and held[0] <= 40 and len(model.features)
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = toxic_tables(spark, 20)
     p = toxicity.score(docs, toxicity.fit_tables(docs, labels.limit(0))).toPandas()
