@@ -312,7 +312,7 @@ def test_toxicity_learns_one_text_of_a_repeated_document(spark, monkeypatch):
     r = random.Random(2)
     rows = [(i, " ".join(r.choice(["vile", "rotten"] if i % 2 else ["mild", "kind"]) + str(r.randint(0, 9)) for _ in range(20))) for i in range(40)]
     rows += [(1, f"vile{i} rotten{i} " * 9) for i in range(500)]
-    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"), sample=20)
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"), sample=20, z=2.0)
     assert held and held[0] <= 40 and len(model.features)
 
 
