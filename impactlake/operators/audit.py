@@ -203,6 +203,13 @@ def capacity(counts: DataFrame, ours: int, full: int) -> DataFrame:
     return counts.withColumn("estimated_rows", F.bround(F.col("row_count") * F.lit(full / ours)).cast("long"))
 
 
+def runtime(counts: DataFrame, ours: int, full: int, delays: Sequence[float] = (0.1, 0.2, 0.5, 1.0)) -> DataFrame:
+    """endpoint requests scaled from our tests to all (row_count a row an endpoint), and for each delay the hours that all of them wait."""
+    total = capacity(counts, ours, full).agg(F.coalesce(F.sum("estimated_rows"), F.lit(0)).alias("request_count"))
+    each = total.select("request_count", F.explode(F.array(*map(F.lit, delays))).alias("delay_seconds"))
+    return each.withColumn("delay_hours", F.bround(F.col("request_count") * F.col("delay_seconds") / 3600, 2))
+
+
 def value_profile(df: DataFrame, fields: Sequence[str], top: int = 12) -> DataFrame:
     """Per field: filled, distinct, and the most frequent values with counts, ties by value."""
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])

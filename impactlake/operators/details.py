@@ -26,6 +26,13 @@ def resume(wanted: DataFrame, done: DataFrame, runs: DataFrame | None, key: str,
     return left if runs is None else left.join(runs.where(~F.coalesce(stale, F.lit(False))).select(key), key, "left_anti")
 
 
+def close_stale(runs: DataFrame, at: Column, reason: str) -> DataFrame:
+    """Runs (status, finished_at, error_type, error_message) after those that began and never ended are closed as interrupted; no run holds its tests then."""
+    open_ = (F.col("status") == "started") & F.col("finished_at").isNull()
+    new = {"status": F.lit("interrupted"), "finished_at": at, "error_type": F.lit("InterruptedRun"), "error_message": F.lit(reason)}
+    return runs.select(*[F.when(F.coalesce(open_, F.lit(False)), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in runs.columns])
+
+
 def observation_summary(payloads: DataFrame, observations: DataFrame, key: str, endpoint: str, at: Column) -> DataFrame:
     """Per endpoint: payloads that were seen, how often, first and last.  Observations are counted by payload before the join."""
     seen = observations.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))

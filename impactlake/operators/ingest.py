@@ -81,12 +81,19 @@ def json_keys(text: Column) -> Column:
     return F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
 
 
-def with_request_context(rows: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Columns of the request (vehicle_no, occupant_location, ...) as fallbacks where a row has none of their keys."""
+# fixed values: columns that a request can supply, and the keys under which a row has them itself
+CONTEXT = {"test_no": ("testNo", "TSTNO"), "vehicle_no": ("vehicleNo", "VEHNO"), "occupant_location": ("occupantLocation", "OCCLOC", "OCCLOCD")}
+
+
+def with_request_context(rows: DataFrame, aliases: dict[str, tuple[str, ...]] = CONTEXT, endpoint: str = "restraint_info") -> DataFrame:
+    """Columns of the request (request_test_no, ...) as fallbacks where a restraint's row has none of their keys; a key that is there counts even if it is null.
+
+    Rows of other endpoints have what they hold themselves."""
     from ..functions.presence import any_present, first_present
 
     out = rows
     for column, keys in aliases.items():
         context = F.col(f"request_{column}").cast("string") if f"request_{column}" in rows.columns else F.lit(None).cast("string")
-        out = out.withColumn(column, F.when(any_present(F.col("data"), keys), first_present(F.col("data"), keys)).otherwise(context))
+        asked = F.when(F.col("endpoint_name") == endpoint, context)
+        out = out.withColumn(f"context_{column}", F.when(any_present(F.col("data"), keys), first_present(F.col("data"), keys)).otherwise(asked))
     return out

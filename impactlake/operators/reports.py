@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratings, text
 from ..functions.numbers import ratio
+from .composed import Section, key_counts
+from .details import manifest_family
 
 
 def patterns(df: DataFrame, key: str, kind: str) -> DataFrame:
@@ -54,6 +56,18 @@ def distribution(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.groupBy(F.coalesce(value.cast("string"), F.lit("<NULL>")).alias(name)).agg(F.count(F.lit(1)).alias("n"))
 
 
+def histograms(df: DataFrame, values: Mapping[str, Column], where: Mapping[str, Column] | None = None) -> DataFrame:
+    """name, value and n of several distributions of a table by one scan; where: which rows a distribution is of (all by default); nulls are <NULL>."""
+    sections = {name: Section(c, (where or {}).get(name)) for name, c in values.items()}
+    return key_counts(df, sections).select(F.col("section").alias("name"), F.col("key").alias("value"), "n")
+
+
+def manifest_distributions(df: DataFrame, year: Column, test_type: Column, configuration: Column, configuration_key: Column) -> DataFrame:
+    """The four distributions of a manifest: year, type, configuration (trimmed; empty as <NULL>) and family."""
+    shown = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return histograms(df, {"year": year, "test_type": shown(test_type), "configuration": shown(configuration), "family": manifest_family(configuration_key, configuration, test_type)})
+
+
 def match_rate(df: DataFrame, ready: Column, matched: Column) -> DataFrame:
     """One row: subjects, ready ones, matched ones, rate to six places."""
     n = df.agg(F.count(F.lit(1)).alias("subject_count"), F.count_if(ready).alias("ready_count"), F.count_if(ready & matched).alias("matched_count"))
