@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from impactlake.plans import queries as plans
-from impactlake.plans import catalog, output, reports, tables  # noqa: F401
+from impactlake.plans import catalog, composed, evidence, families, output, reports, runs, stores, tables  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
