@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from impactlake.operators import audit, canonical, details, ingest, linkage, merge, planning, readmodel
+from impactlake.plans import queries
 from impactlake.sources import files, http, registry
 from impactlake.streaming import landing
 
@@ -247,3 +248,46 @@ def test_candidates_by_what_they_share(spark):
     whole = get(a)
     assert len(whole) > 2000 and get(a, reach) == whole
     assert get(a.limit(0), reach) == []
+
+
+def test_best_candidates_are_those_of_all_pairs(spark):
+    """Ranked rows equal those of scoring every pair: nulls, repeated rows, an id with several rows, a hot block, no rows; and few pairs are made."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["x", "x", "x", "y", None]), rng.choice(["n1", "n2", "n3", None]), rng.choice([1, 2, 3, 6, 20, None])) for i in range(150)]
+    rows += [rows[0], rows[3], (5, "x", "n1", 2), (5, "x", "n1", 3), (5, "x", "n2", 2), (None, "x", "n1", 2)]
+    p = spark.createDataFrame(rows, "id int, b string, n string, s int")
+    a, b = p.toDF("subject", "b", "an", "asz"), p.toDF("candidate", "b", "bn", "bsz")
+    score = F.when(F.col("an") == F.col("bn"), 20).otherwise(0) + F.when(F.col("asz") == F.col("bsz"), 5).otherwise(0)
+    own, size = F.col("asz").cast("string"), F.col("bsz").cast("string")
+    ways = [(F.array(F.array("an")), F.array("bn"), 20), (F.array(F.array(own)), F.array(size), 5), (F.array(F.array("an", own)), F.array("bn", size), 25)]
+    shown = lambda df: sorted(map(repr, df.select("subject", "candidate", "score", "candidate_rank").collect()))
+    for most in (1, 3, 8):
+        whole = shown(linkage.candidates(a, b, ["b"], F.when(F.col("subject") != F.col("candidate"), score), 5, ["subject"], ["candidate"], most))
+        got = shown(linkage.best_candidates(a, b, ["b"], ways, 5, ["subject"], ["candidate"], most, ["an", "asz"], ("subject", "candidate")))
+        assert len(whole) > 90 and got == whole
+    assert shown(linkage.best_candidates(a.limit(0), b, ["b"], ways, 5, ["subject"], ["candidate"], 3, ["an", "asz"], ("subject", "candidate"))) == []
+
+
+def rows_made(df):
+    """Rows that each join of a query put out, as counted while it ran."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        else:
+            if "Join" in name:
+                found.append(node.longMetric("numOutputRows").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_ranked_parts_make_few_pairs(spark, tmp_path):
+    """A block of many alike parts costs its rows, not their pairs."""
+    spark.range(3000).selectExpr("id AS p_partkey", "'b' AS p_brand", "'t' AS p_type", "'n' AS p_name", "1 AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    assert max(rows_made(queries.candidate_rank(spark, str(tmp_path)))) <= 3000
+    assert queries.candidate_rank(spark, str(tmp_path)).count() == 24000
