@@ -291,3 +291,16 @@ def test_ranked_parts_make_few_pairs(spark, tmp_path):
     spark.range(3000).selectExpr("id AS p_partkey", "'b' AS p_brand", "'t' AS p_type", "'n' AS p_name", "1 AS p_size").write.parquet(str(tmp_path / "part.parquet"))
     assert max(rows_made(queries.candidate_rank(spark, str(tmp_path)))) <= 3000
     assert queries.candidate_rank(spark, str(tmp_path)).count() == 24000
+
+
+def test_equivalence_and_metrics_read_ranked_rows_once_each(spark):
+    rows = [(1, "s", 20, 1), (1, "s", 20, 2), (1, "t", 10, 3), (2, "u", 10, 1), (2, "u", 9, 2), (3, None, 5, 1), (3, "v", 5, 2), (4, "w", 5, 1)]
+    r = spark.createDataFrame(rows, "subject int, signature string, score int, candidate_rank int")
+    base = linkage.confidence(r, "subject")
+    out = linkage.equivalence(r, "subject", "signature", "score", base)
+    assert {x.subject: x.confidence for x in out.collect()} == {1: "HIGH_TOP_EQUIVALENT_RATING", 2: "HIGH_EQUIVALENT_RATING", 3: "REVIEW_AMBIGUOUS_VARIANT", 4: "HIGH_SINGLE_VARIANT"}
+    assert len(rows_made(out)) == 1
+    told = r.join(out.select("subject", linkage.selection_status(F.col("confidence")).alias("selection_status")), "subject")
+    got = linkage.overlay_metrics(told.unionByName(spark.createDataFrame([(None, "s", 5, 1, "auto")], told.schema)), "subject")
+    assert tuple(got.collect()[0]) == (9, 4, 3, 1) and "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(linkage.overlay_metrics(told.limit(0), "subject").collect()[0]) == (0, 0, 0, 0)
