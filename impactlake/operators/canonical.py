@@ -84,10 +84,11 @@ LOCATIONS = {
 }
 
 
-def columns(spec: list[Field], data: str = "data") -> list[Column]:
+def columns(spec: list[Field], raws: dict[str, Column]) -> list[Column]:
+    """The typed columns of a spec; raws: what the source says, by field."""
     out = []
     for f in spec:
-        raw = presence.first_present(F.col(data), f.keys)
+        raw = raws[f.name]
         if f.kind == "number":
             out += [raw.alias(f"{f.name}_raw"), numbers.number_value(raw).alias(f.name), numbers.number_status(raw).alias(f"{f.name}_status")]
         elif f.kind == "date":
@@ -111,7 +112,9 @@ def _rows(rows: DataFrame, table: str) -> DataFrame:
 def project(rows: DataFrame, table: str, spec: list[Field]) -> DataFrame:
     """A canonical table of exploded rows (test_no, lineage, data)."""
     lineage = [c for c in LINEAGE if c in rows.columns]
-    return _rows(rows, table).select("test_no", *columns(spec), *lineage)
+    # a projection of its own, so that each value is taken out of its object once, however many columns come of it
+    found = _rows(rows, table).select("test_no", *[presence.first_present(F.col("data"), f.keys).alias(f"_{f.name}") for f in spec], *lineage)
+    return found.select("test_no", *columns(spec, {f.name: F.col(f"_{f.name}") for f in spec}), *lineage)
 
 
 def tests(rows: DataFrame, order: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.registry import priority
-from ..sources.store import Buckets
+from ..sources.store import FEW, Buckets
 from . import canonical, ingest, keys
 
 LEAST = "2011-01-01"
@@ -27,7 +27,8 @@ def in_scope(rows: DataFrame, least: str = LEAST) -> DataFrame:
     """Exploded rows of tests that are in scope by the dates of all their source rows."""
     dated = canonical.project(rows, "tests", canonical.TESTS)
     inside = canonical.scope_decisions(dated, least).where("status = 'in_scope'").select("test_no")
-    return rows.join(inside, "test_no", "left_semi")
+    # Spark guesses 2 kB for a VARIANT, so beside such rows any number of tests looks small enough for a broadcast
+    return rows.join(inside.hint("merge"), "test_no", "left_semi")
 
 
 def derive(rows: DataFrame, tables: tuple[str, ...] = TABLES, kept: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> dict[str, DataFrame]:
@@ -58,11 +59,14 @@ class Catalog:
 
         payloads: payload_id, endpoint_name, test_no, payload (VARIANT), one a request (see `latest`).  The scope gate comes first: of a test
         whose dates are too early, missing or unreadable no row is left.  Payloads are read once, as exploded rows that are written beside the
-        tables.  Tables are changed one after another, each as a whole; a run that was lost on the way is run again and gives the same rows.
+        tables (and their test_no alone once more, where all are asked for); so are the tests that are asked for, which every table needs.  Tables are changed one after another, each as a whole; a run that was lost on the way is run again and gives the same rows.
         The version of each table is given."""
-        asked = (payloads if again is None else again).select("test_no").distinct()
         stage = f"{self.folder}/_rows/{uuid.uuid4().hex}"
-        some = payloads.join(asked, "test_no", "left_semi").select("payload_id", "endpoint_name", "test_no", "payload")
+        (payloads if again is None else again).select("test_no").distinct().write.parquet(f"{stage}-asked")
+        asked = self.spark.read.parquet(f"{stage}-asked")
+        few = asked.count() <= FEW
+        mine = payloads.where("test_no is not null") if again is None else payloads.join(asked if few else asked.hint("merge"), "test_no", "left_semi")
+        some = mine.select("payload_id", "endpoint_name", "test_no", "payload")
         ingest.exploded_rows(some).write.parquet(stage)
 
         def kept(df: DataFrame, name: str) -> DataFrame:
@@ -71,7 +75,7 @@ class Catalog:
 
         fresh = derive(in_scope(self.spark.read.parquet(stage), least), tuple(self.tables), kept)
         versions = {name: store.replace(asked, fresh[name]) for name, store in self.tables.items()}
-        for name in (stage, *(f"{stage}-{t}" for t in self.tables)):
+        for name in (stage, f"{stage}-asked", *(f"{stage}-{t}" for t in self.tables)):
             at = self.spark._jvm.org.apache.hadoop.fs.Path(name)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
         return versions

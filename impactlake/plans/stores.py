@@ -72,7 +72,8 @@ def payloads(spark, d, make):
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("test_no"), "o_orderdate")
     dates_ = o.select("test_no", F.lit("test_summary").alias("endpoint_name"), F.to_json(F.struct(F.array(F.struct(F.col("o_orderdate").cast("date").cast("string").alias("testDate"))).alias("results"))).alias("body"))
     row = F.struct(F.col("l_linenumber").alias("vehicleNo"), make.alias("vehicleMake"), F.col("p_size").alias("modelYear"))
-    v = lines(spark, d).groupBy(F.col("l_orderkey").alias("test_no")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(row)).alias("results"))).alias("body"))
+    # parts are read in each of several runs: as broadcasts their tables would pile up on the driver
+    v = lines(spark, d, "merge").groupBy(F.col("l_orderkey").alias("test_no")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(row)).alias("results"))).alias("body"))
     both = dates_.unionByName(v.select("test_no", F.lit("vehicle_info").alias("endpoint_name"), "body"))
     return both.select(F.sha2("body", 256).alias("payload_id"), "endpoint_name", "test_no", F.parse_json("body").alias("payload"))
 

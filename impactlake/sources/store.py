@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+FEW = 100_000  # keys up to this number may be broadcast: what Spark takes for small is the size of files, of which the driver would hold many times as much
+
+
 class Conflict(RuntimeError):
     """Another writer has made a version meanwhile."""
 
@@ -83,14 +86,15 @@ class Buckets:
     def of(self, keys: DataFrame) -> DataFrame | None:
         """The buckets that `keys` fall into, all rows of them; None of a table without a version."""
         manifest = self._manifest()
-        return self._read(manifest, self._touched(keys)) if manifest else None
+        return self._read(manifest, sorted(self._touched(keys))) if manifest else None
 
     def note(self) -> object:
         """What the last change left in the manifest (for writers that must know whether they have been here)."""
         return (self._manifest() or {}).get("note")
 
-    def _touched(self, keys: DataFrame) -> list[int]:
-        return sorted(r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect())  # at most one row a bucket
+    def _touched(self, keys: DataFrame) -> dict[int, int]:
+        """How many of the keys fall into each bucket."""
+        return dict(keys.groupBy(self.bucket().alias("b")).count().collect())  # at most one row a bucket
 
     def bucket(self) -> Column:
         """Null keys are a key of their own."""
@@ -98,11 +102,12 @@ class Buckets:
 
     # --- changes -----------------------------------------------------------------------------------------------------
 
-    def change(self, keys: DataFrame, rows: DataFrame, fold: Callable[[DataFrame], DataFrame], note: object = None) -> int:
-        """Write the buckets of `keys` anew: what `fold` makes of their stored rows.  keys: the key columns; rows: of the table's form (for a first version)."""
+    def change(self, keys: DataFrame, rows: DataFrame, fold: Callable[[DataFrame], DataFrame], note: object = None, touched: Iterable[int] | None = None) -> int:
+        """Write the buckets of `keys` anew: what `fold` makes of their stored rows.  keys: the key columns; rows: of the table's form (for a first version);
+        touched: the buckets, where they are known already."""
         have = self.versions()
         base, old = (have[-1], self._manifest(have[-1])) if have else (0, None)
-        touched = self._touched(keys)
+        touched = sorted(self._touched(keys) if touched is None else touched)
         if not touched and (note is None or old is None):
             return base
         if not touched:
@@ -130,13 +135,16 @@ class Buckets:
 
         A second run with the same arguments gives an equal table; without keys nothing is written."""
         asked = keys.select(*self.key).distinct()
+        touched = self._touched(asked)
+        if sum(touched.values()) > FEW:
+            asked = asked.hint("merge")
 
         def fold(stored: DataFrame) -> DataFrame:
             stay = stored.alias("s").join(asked.alias("k"), self._same("s", "k", self.key), "left_anti")
             come = rows.alias("s").join(asked.alias("k"), self._same("s", "k", self.key), "left_semi")
             return stay.unionByName(come, allowMissingColumns=True)
 
-        return self.change(asked, rows, fold)
+        return self.change(asked, rows, fold, touched=touched)
 
     def upsert(self, rows: DataFrame, unique: list[str] | None = None, order: list[str] | None = None, note: object = None) -> int:
         """Rows replace stored rows of equal `unique` columns (the table's key by default, which they must include); all others stay.

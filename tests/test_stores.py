@@ -10,7 +10,7 @@ from io import BytesIO
 import pytest
 from pyspark.sql import functions as F
 
-from impactlake.operators import keys, paging
+from impactlake.operators import keys, paging, rebuild
 from impactlake.sources import http as web
 from impactlake.sources import store
 
@@ -268,3 +268,26 @@ def test_rebuild_of_a_tenth_leaves_the_rest_and_repeats_alike(spark, tmp_path):
     early = [r if r[0] not in ("a4", "a14") else payload(r[0], r[1], r[2], {"testNo": r[2], "testDate": {"a4": "2001-01-01", "a14": "soon"}[r[0]]}) for r in rows]
     catalog.rebuild(frame(early), few)  # two tests fall out of scope
     assert {x.test_no for x in catalog.read("tests").collect()} == {x.test_no for x in catalog.read("vehicles").collect()} == set(range(40)) - {4, 14}
+
+
+# --- stored tables without large broadcasts ---------------------------------------------------------------------------
+
+
+def test_many_keys_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """What a table is asked for may be far more than the driver holds: beyond a few keys the joins are told so; the asked tests are worked out once."""
+    from impactlake.plans import stores
+
+    monkeypatch.setattr(store, "FEW", 2)
+    table, plans = store.Buckets(spark, f"file://{tmp_path}/t", ["k"], 2), []
+    rows = spark.createDataFrame([(i, i * i) for i in range(6)], "k long, v long")
+    table.replace(rows, rows)
+    change = table.change
+    monkeypatch.setattr(table, "change", lambda keys, rows, fold, *r, **k: change(keys, rows, lambda x: plans.append(fold(x)) or fold(x), *r, **k))
+    table.replace(rows.where("k < 3"), rows.withColumn("v", F.lit(0)))
+    assert sorted(map(tuple, table.read().collect())) == [(0, 0), (1, 0), (2, 0), (3, 9), (4, 16), (5, 25)]
+    assert "Broadcast" not in plans[0]._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in stores.payloads(spark, "/root/testdata/sf0.001", F.col("p_brand"))._jdf.queryExecution().sparkPlan().toString()
+    exploded = spark.createDataFrame([(1, "test_summary", "$.results[0]")], "test_no int, section string, json_path string").withColumn("data", F.parse_json(F.lit('{"testDate": "2016-01-02"}')))
+    exploded.write.parquet(str(tmp_path / "rows"))
+    inside = rebuild.in_scope(spark.read.parquet(str(tmp_path / "rows")))
+    assert inside.count() == 1 and "Broadcast" not in inside._jdf.queryExecution().sparkPlan().toString()
