@@ -142,8 +142,10 @@ def participant_kind(make: Column, model: Column, impactor_make: str | None = IM
 
 def present_codes(rows: DataFrame, codes: list[str], keep: list[Column], data: str = "data") -> DataFrame:
     """Unpivot: a row for each code whose key is there, null values included."""
-    cells = F.array(*[F.struct(F.lit(c).alias("code"), presence.has(F.col(data), c).alias("there"), presence.get(F.col(data), c).alias("raw")) for c in codes])
-    each = rows.select(*keep, F.explode(F.filter(cells, lambda x: x["there"])).alias("c"))
+    # each code is looked up once, and only what is there is read
+    found = rows.select(*keep, *[F.try_variant_get(data, presence._path(c), "variant").alias(f"_c{i}") for i, c in enumerate(codes)])
+    cells = [F.when(F.col(f"_c{i}").isNotNull(), F.struct(F.lit(c).alias("code"), F.try_variant_get(f"_c{i}", "$", "string").alias("raw"))) for i, c in enumerate(codes)]
+    each = found.select(*found.columns[: len(keep)], F.explode(F.array_compact(F.array(*cells))).alias("c"))
     raw = F.col("c.raw")
     return each.select(*[c for c in each.columns if c != "c"], F.col("c.code").alias("code"), raw.alias("raw"), numbers.number_value(raw).alias("value"), numbers.number_status(raw).alias("status"))
 

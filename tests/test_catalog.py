@@ -304,3 +304,10 @@ def test_equivalence_and_metrics_read_ranked_rows_once_each(spark):
     got = linkage.overlay_metrics(told.unionByName(spark.createDataFrame([(None, "s", 5, 1, "auto")], told.schema)), "subject")
     assert tuple(got.collect()[0]) == (9, 4, 3, 1) and "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert tuple(linkage.overlay_metrics(told.limit(0), "subject").collect()[0]) == (0, 0, 0, 0)
+
+
+def test_each_code_is_looked_up_once(spark):
+    rows = spark.createDataFrame([(1, '{"HIC": "7"}'), (2, '{"HIC": null}'), (3, '{"x": 1}'), (4, "[1]")], "test_no int, body string").select("test_no", F.parse_json("body").alias("data"))
+    out = canonical.present_codes(rows, ["HIC"], [F.col("test_no")])
+    assert sorted(map(tuple, out.collect())) == [(1, "HIC", "7", 7.0, "parsed"), (2, "HIC", None, None, "null")]
+    assert out._jdf.queryExecution().analyzed().toString().count("$['HIC']") == 1
