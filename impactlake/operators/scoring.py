@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum, squash
@@ -64,48 +64,60 @@ PENALTY, MODEL_TEXT, DIRECT, DECODED = 18, 4, 2, 3
 FIELDS = ("body", "model", "body_class", "cab", "series", "trim", "doors", "electrification", "fuel", "second_fuel", "drive")
 
 
-def _holds(alternatives: list[str], clean: dict[str, Column]) -> Column:
-    forms = {":": lambda c, w: c.contains(w), "=": lambda c, w: c == w, "#": lambda c, w: alnum(c).contains(w), "-": lambda c, w: F.replace(c, F.lit(" "), F.lit("")).contains(w)}
+def _upper(c: Column) -> Column:
+    return F.coalesce(squash(F.upper(c)), F.lit(""))
+
+
+def _holds(alternatives: list[str], clean: dict[str, Column], bare: dict[str, Column]) -> Column:
+    forms = {":": lambda f, w: clean[f].contains(w), "=": lambda f, w: clean[f] == w, "#": lambda f, w: bare[f].contains(w), "-": lambda f, w: F.replace(clean[f], F.lit(" "), F.lit("")).contains(w)}
     out = F.lit(False)
     for a in alternatives:
         at = min(a.find(c) for c in forms if c in a)
-        out = out | forms[a[at]](clean[a[:at]], a[at + 1 :])
+        out = out | forms[a[at]](a[:at], a[at + 1 :])
     return out
 
 
-def _tokens(rules: list[tuple[list[str], list[tuple[str, int]]]], clean: dict[str, Column]) -> Column:
-    """The distinct (token, weight) of the rules that hold, in the rules' order."""
-    none = F.array().cast("array<struct<token:string,weight:int>>")
-    each = [F.when(_holds(when, clean), F.array(*[F.struct(F.lit(t).alias("token"), F.lit(w).alias("weight")) for t, w in tokens])).otherwise(none) for when, tokens in rules]
-    return F.array_distinct(F.flatten(F.array(*each)))
-
+def _hits(name: str, rules: list[tuple[list[str], list[tuple[str, int]]]], clean: dict[str, Column], bare: dict[str, Column], said: Column) -> Column:
+    """The distinct (token, weight) of the rules that hold which the description has, in the rules' order, as weights and reasons."""
+    cells = [F.when(_holds(when, clean, bare) & said.contains(t), F.struct(F.lit(w).alias("n"), F.lit(f"{name}:{t.strip()}+{w}").alias("why"), F.lit(t).alias("token"))) for when, tokens in rules for t, w in tokens]
+    return F.transform(F.array_distinct(F.array_compact(F.array(*cells))), lambda x: F.struct(x["n"].alias("n"), x["why"].alias("why")))
 
-def _why(name: str, hit: Column) -> Column:
-    return F.transform(hit, lambda x: F.struct(x["weight"].alias("n"), F.concat(F.lit(f"{name}:"), F.trim(x["token"]), F.lit("+"), x["weight"].cast("string")).alias("why")))
 
-
-def score(known: dict[str, Column], description: Column, method: Column | None = None) -> tuple[Column, Column]:
-    """(score, reasons) of a description for a vehicle of which `known` says what is known (FIELDS; what is left out is empty).
-
-    method: how the candidate was found; `direct` and what begins with `vpic` add a little.  Reasons stand in the order of the rules."""
-    upper = lambda c: F.coalesce(squash(F.upper(c)), F.lit(""))
-    clean = {f: upper(known[f]) if f in known else F.lit("") for f in FIELDS}
-    said = upper(description)
-    parts = []
-    for name, rules in (("body", BODY_RULES), ("drive", DRIVE_RULES)):
-        hit = F.filter(_tokens(rules, clean), lambda x: said.contains(x["token"]))
-        parts.append(_why(name, hit))
+def _all(clean: dict[str, Column], bare: dict[str, Column], said: Column, said_bare: Column) -> Column:
+    """All that counts, as weights and reasons; clean and said: upper case and squashed; bare: letters and digits only."""
+    parts = [_hits("body", BODY_RULES, clean, bare, said), _hits("drive", DRIVE_RULES, clean, bare, said)]
     none = F.array().cast("array<struct<n:int,why:string>>")
     one = lambda when, n, why: F.when(when, F.array(F.struct(F.lit(n).alias("n"), F.lit(why).alias("why")))).otherwise(none)
     for when, words, why in AGAINST:
         denied = F.lit(False)
         for w in words:
             denied = denied | said.contains(w)
-        parts.append(one(_holds(when, clean) & denied, -PENALTY, why))
-    name = alnum(clean["model"])
-    parts.append(one((name != "") & alnum(said).contains(name), MODEL_TEXT, f"model_text+{MODEL_TEXT}"))
-    all_ = F.concat(*parts)
+        parts.append(one(_holds(when, clean, bare) & denied, -PENALTY, why))
+    parts.append(one((bare["model"] != "") & said_bare.contains(bare["model"]), MODEL_TEXT, f"model_text+{MODEL_TEXT}"))
+    return F.concat(*parts)
+
+
+def _total(all_: Column, method: Column | None) -> Column:
     total = F.aggregate(all_, F.lit(0), lambda a, x: a + x["n"])
     if method is not None:
         total = total + F.when(method == "direct", DIRECT).when(method.startswith("vpic"), DECODED).otherwise(0)
-    return total, F.transform(all_, lambda x: x["why"])
+    return total
+
+
+def score(known: dict[str, Column], description: Column, method: Column | None = None) -> tuple[Column, Column]:
+    """(score, reasons) of a description for a vehicle of which `known` says what is known (FIELDS; what is left out is empty).
+
+    method: how the candidate was found; `direct` and what begins with `vpic` add a little.  Reasons stand in the order of the rules."""
+    clean = {f: _upper(known[f]) if f in known else F.lit("") for f in FIELDS}
+    said = _upper(description)
+    all_ = _all(clean, {"model": alnum(clean["model"])}, said, alnum(said))
+    return _total(all_, method), F.transform(all_, lambda x: x["why"])
+
+
+def scored(df: DataFrame, known: dict[str, Column], description: Column, method: Column | None = None) -> DataFrame:
+    """Adds score and reasons of `score`: normal forms, hits and sums by projections of their own, so that each is worked out once a row and not at every use."""
+    forms = df.select("*", *[_upper(c).alias(f"_is_{f}") for f, c in known.items()], _upper(description).alias("_said"))
+    clean = {f: F.col(f"_is_{f}") if f in known else F.lit("") for f in FIELDS}
+    bare = forms.select("*", alnum(clean["model"]).alias("_bare"), alnum(F.col("_said")).alias("_said_bare"))
+    hits = bare.select(*df.columns, _all(clean, {"model": F.col("_bare")}, F.col("_said"), F.col("_said_bare")).alias("_all"))
+    return hits.select(*df.columns, _total(F.col("_all"), method).alias("score"), F.transform("_all", lambda x: x["why"]).alias("reasons"))

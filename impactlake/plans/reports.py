@@ -309,8 +309,8 @@ def weighted_tokens(spark, d):
     k = F.col("p_partkey")
     known = {name: F.element_at(F.array(*map(F.lit, values)), (F.floor(k / step) % len(values)).cast("int") + 1) for name, (values, step) in PICK.items()}
     said = known.pop("said")
-    total, reasons = scoring.score(known, said, F.when(k % 3 == 0, "direct").when(k % 3 == 1, "vpic_model").otherwise("list"))
-    return t(spark, d, "part").select("p_partkey", total.alias("score"), F.array_join(reasons, ",").alias("reasons"))
+    out = scoring.scored(t(spark, d, "part").select("p_partkey"), known, said, F.when(k % 3 == 0, "direct").when(k % 3 == 1, "vpic_model").otherwise("list"))
+    return out.select("p_partkey", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
 PATHS = ["vehicle.testNo", "a.rowId", "photoUrl", "videos", "commentary", "vehicleSpeed", "timeIncrement", "sensorType", "occupant.occupantLocation", "modelYear", "scope.makeName", "semantic.hash", "plain", "vehicleWidth"]

@@ -221,3 +221,13 @@ def test_only_wanted_seeds_leave_the_reader(tmp_path):
     parts = reader.partitions()
     assert [(p.first, p.last) for p in parts] == [(1, 5), (6, 10), (11, 15), (16, 20)]
     assert [[r[1] for r in reader.read(p)] for p in parts] == [[], [], [], [15, 16, 17, 18, 19]]
+
+
+def test_scores_by_steps_equal_scores_by_columns(spark):
+    """The table of scores has its normal forms worked out before the rules use them."""
+    df = spark.createDataFrame([("four  door sedan", "F-150 Supercrew", "4 DR SEDAN 2-DR F150 SUPERCREW", "direct"), (None, None, None, None), ("pickup", "", " pu/cc pu ", "vpic_x")], "b string, m string, s string, how string")
+    known = {"body": F.col("b"), "model": F.col("m")}
+    total, why = scoring.score(known, F.col("s"), F.coalesce("how", F.lit("")))
+    out = scoring.scored(df, known, F.col("s"), F.coalesce("how", F.lit("")))
+    assert out.select("s", "score", "reasons").collect() == df.select("s", total.alias("score"), why.alias("reasons")).collect()
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 5
