@@ -9,8 +9,9 @@ scoring a text looks up all its positions at once and adds the bits.  The langua
 shortest code wins, ties by name, however long its code is.
 
 Whether a text is in any learnt language at all is another question, which only the pipeline's stage asks: is even the shortest code too long?
-How long is told by the learnt languages' own texts: counts of one half of them are the model that
-costs the other half, and a bound is SLACK times the median cost a byte of a language's texts.  It
+How long is told by all texts of the learnt languages, whether they are in the sample or not: texts are halved by a
+hash, what is learnt from one half's sample costs all texts of the other half, and a bound is SLACK times the median cost a byte
+of a language's distinct texts (costs are cut to STEPS parts of a bit, so that counts tell the median).  It
 is never below 4 bits (half of what the byte takes) nor above 8, the cost without any model; what a
 text has more than its bound must also exceed SPARE bits, for texts of a few letters.
 
@@ -40,6 +41,7 @@ BATCH_BYTES = 1 << 19
 PAD = b"\n" * ORDER
 SLOTS = 1 << 52  # hash values a share of the documents is cut from, fine enough for any table
 SLACK, LEAST, MOST, SPARE = 2.25, 4.0, 8.0, 16.0
+STEPS = 4096  # of a bit, in the median cost of a language's texts
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -184,36 +186,48 @@ def rates(bits: np.ndarray, texts: list[bytes]) -> np.ndarray:
     return np.maximum(bits.min(axis=1) - SPARE, 0) / np.array([len(t) for t in texts])
 
 
-def own_costs(docs: DataFrame, model: Model) -> dict[str, float]:
-    """The median cost a byte, by language, of distinct texts that the model takes for what `lang` says."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def own_costs(docs: DataFrame, halves: list[Model]) -> dict[str, float]:
+    """The median cost a byte, by language, of all distinct texts that are taken for what `lang` says.
+
+    docs: lang, text and half; halves: what is learnt from texts of half 0 and of half 1.  A text is costed by the other half's."""
+    shared = docs.sparkSession.sparkContext.broadcast(halves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        models = shared.value
         for batch in slices(batches, 1):
-            rows = [(x, t.encode()) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if LETTER.search(t)]
-            if rows:
-                texts = [t for _, t in rows]
-                bits = lengths(m, texts)
-                got = [(x, r) for (x, _), b, r in zip(rows, bits.argmin(axis=1).tolist(), rates(bits, texts).tolist()) if m.langs[b] == x]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([r for _, r in got], pa.float64())], names=["lang", "rate"])
-
-    # copies of a text would pass for many
-    out = dict(docs.select("lang", "text").distinct().mapInArrow(tidy(run), "lang string, rate double").groupBy("lang").agg(F.median("rate")).collect())
+            rows = [x for x in zip(*(c.to_pylist() for c in batch.columns)) if LETTER.search(x[1])]
+            for half in (0, 1):
+                m, own = models[1 - half], [x for x in rows if x[2] == half]
+                if own and m.langs:
+                    texts = [x[1].encode() for x in own]
+                    bits = lengths(m, texts)
+                    steps = np.floor(np.minimum(rates(bits, texts), MOST) * STEPS).astype(int).tolist()
+                    got = [(x[0], x[3], k) for x, k, best in zip(own, steps, bits.argmin(axis=1).tolist()) if m.langs[best] == x[0]]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int32()))], names=["lang", "digest", "step"])
+
+    # copies of a text would pass for many; at most MOST * STEPS + 1 counts a language come here
+    told = docs.select("lang", "text", "half", F.unhex(F.md5("text")).alias("digest")).mapInArrow(tidy(run), "lang string, digest binary, step int")
+    counts = told.groupBy("lang", "digest").agg(F.min("step").alias("step")).groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n")).collect()
     shared.destroy()
+    out = {}
+    for lang in {x["lang"] for x in counts}:
+        steps, n = np.array(sorted((x["step"], x["n"]) for x in counts if x["lang"] == lang)).T
+        upto = np.cumsum(n)
+        middle = np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], side="right")
+        out[lang] = float(steps[middle].mean()) / STEPS
     return out
 
 
 def fit(docs: DataFrame, sample: int = 1000, bounded: bool = True) -> Model:
     """docs: doc_id, text, lang of training rows.  At most about `sample` distinct texts a language are learnt from.
 
-    bounded: also work out what a text of a learnt language costs at most (`predict` with `known` needs it)."""
+    bounded: also work out, from all training rows, what a text of a learnt language costs at most (`predict` with `known` needs it)."""
     ship(docs.sparkSession)
     named = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     sizes = named.groupBy("lang").agg((F.least(F.lit(1.0), sample / F.count(F.lit(1))) * F.lit(float(SLOTS))).cast("long").alias("below"))
-    lots = named.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLOTS)).alias("lot"), F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"))
+    lots = named.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLOTS)).alias("lot"), F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)).cast("int").alias("half"))
     # the sizes are a row a language, and the model has a column for each; rows that repeat would all be in or all be out: a text counts once
-    chosen = lots.join(F.broadcast(sizes), "lang").where("lot < below").groupBy("lang", "text").agg(F.min("half").alias("half")).select("lang", "text", "half")
+    chosen = lots.join(F.broadcast(sizes), "lang").where("lot < below").select("lang", "text", "half").distinct()
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int], list[bytes]] = {}
@@ -237,12 +251,12 @@ def fit(docs: DataFrame, sample: int = 1000, bounded: bool = True) -> Model:
             out[x] = [(gram[own & (n == k)], c[own & (n == k)]) for k in range(ORDER + 1)]
         return out
 
-    every, half = counts(table.column("c").to_numpy().astype(float)), counts(table.column("c0").to_numpy().astype(float))
-    if not every:
+    all_, first = table.column("c").to_numpy().astype(float), table.column("c0").to_numpy().astype(float)
+    if not len(all_):
         return Model([], [], [])
-    model = build(every)
+    model = build(counts(all_))
     if bounded:
-        costs = own_costs(chosen.where("half = 1"), build(half)) if half else {}
+        costs = own_costs(lots, [build(half) if half else Model([], [], []) for half in (counts(first), counts(all_ - first))])
         model.bounds = np.array([np.clip(SLACK * costs.get(x, MOST), LEAST, MOST) for x in model.langs])
     return model
 

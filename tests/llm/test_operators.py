@@ -386,6 +386,29 @@ def test_language_stage_drops_what_is_in_no_learnt_language(spark):
     assert language.stage(spark, unlabelled, "").count() == len(rows)
 
 
+def test_language_bounds_come_from_all_texts(spark, monkeypatch):
+    """Twenty texts a language are learnt from, and all others have a say in what a text may cost; copies count once."""
+    r = random.Random(6)
+    say = lambda n: " ".join(r.choice(["ba", "bo", "bi", "bu", "ko"]) * r.randint(1, 3) for _ in range(n))
+    texts = [say(r.randint(3, 60)) for _ in range(300)]
+    rows = [(i, x, "xx") for i, x in enumerate(texts)] + [(1000 + i, texts[0], "xx") for i in range(200)] + [(2000, None, "xx"), (2001, "12", "xx"), (2002, "ba bo", None), (None, "bi bu", "xx")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = []
+
+    def spy(docs, halves, real=language.own_costs):
+        held.append((docs.toPandas(), halves, real(docs, halves)))
+        return held[-1][2]
+
+    monkeypatch.setattr(language, "own_costs", spy)
+    bounds = language.fit(d, sample=20).bounds
+    (seen, halves, got), = held
+    assert set(seen.text) == {*texts, "12"} and set(seen.half) == {0, 1} and (seen.groupby("text").half.nunique() == 1).all()
+    own = seen[seen.text != "12"].drop_duplicates("text")
+    costs = [language.rates(language.lengths(halves[1 - h], [x.encode()]), [x.encode()])[0] for x, h in zip(own.text, own.half)]
+    assert len(costs) == len(set(texts)) and got["xx"] == pytest.approx(np.median(np.floor(np.array(costs) * language.STEPS)) / language.STEPS, abs=1e-12)
+    assert bounds.tolist() == [np.clip(language.SLACK * got["xx"], language.LEAST, language.MOST)]
+
+
 def test_ppm_costs_equal_a_walk_down_the_contexts():
     texts = {"a": [b"abracadabra", b"abba"], "b": [b"banana", b"cabana"]}
     model = language.build({k: [(g, c.astype(float)) for g, c in language.count(v)] for k, v in texts.items()})
