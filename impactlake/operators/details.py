@@ -11,12 +11,24 @@ from ..functions import presence, text, vehicles
 from ..functions.numbers import ratio
 from .canonical import cascade
 
+PART = 1 << 19  # rows a task is given by `spread` at most, but for a key that has more
 
-def rebuild(rows: DataFrame, fresh: DataFrame, again: DataFrame, key: str) -> DataFrame:
+
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df dealt out by columns into as many parts as its number of rows asks for, so that the memory of a task does not grow with the table."""
+    return df.repartition(max(1, -(-rows // PART)), *by)
+
+
+def rebuild(rows: DataFrame, fresh: DataFrame, again: DataFrame, key: str, size: int | None = None) -> DataFrame:
     """A table after some tests were derived again: all their rows are replaced by the fresh ones, those of others stay.
 
-    A test of `again` without fresh rows (out of scope by now) has none afterwards; fresh rows of other tests are ignored."""
-    keys = again.select(key).distinct()
+    A test of `again` without fresh rows (out of scope by now) has none afterwards; fresh rows of other tests are ignored.
+    size: how many rows `rows` and `fresh` have at most, each; with it keys are dealt into parts as `spread` deals such rows, so rows that
+    were spread by the key are not moved again.  A part's keys are held in memory, and rows pass by them unsorted."""
+    keys = again.select(key)
+    keys = (keys if size is None else spread(keys, size, key)).distinct()
+    if size is not None:
+        keys = keys.hint("shuffle_hash")
     return rows.join(keys, key, "left_anti").unionByName(fresh.join(keys, key, "left_semi"))
 
 

@@ -80,9 +80,10 @@ def validation_summary(spark, d):
 @query("""SELECT o_orderkey, l_linenumber, version FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, 'new' AS version FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2
     UNION ALL SELECT l_orderkey, l_linenumber, 'old' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2)""")
 def rebuild_tests(spark, d):
-    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").distinct()
+    size = t(spark, d, "lineitem").count()  # footers only
+    rows = details.spread(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber"), size, "o_orderkey").distinct()
     again = t(spark, d, "orders").where("o_orderstatus = 'F'")
-    return details.rebuild(rows.withColumn("version", F.lit("old")), rows.withColumn("version", F.lit("new")), again, "o_orderkey")
+    return details.rebuild(rows.withColumn("version", F.lit("old")), rows.withColumn("version", F.lit("new")), again, "o_orderkey", size)
 
 
 @query("SELECT n_nationkey, n_name, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS BIGINT) AS row_count FROM nation")

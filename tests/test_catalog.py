@@ -182,6 +182,20 @@ def test_rebuild_and_resume(spark):
     assert sorted(x[0] for x in details.resume(wanted, rows, runs, "test_no", F.col("age") > 600).collect()) == [6, 7]
 
 
+def test_rebuild_gives_a_task_few_rows(spark, monkeypatch):
+    """The parts are as many as the rows ask for; null keys stay, and repeated ones are replaced once."""
+    monkeypatch.setattr(details, "PART", 100)
+    rows = details.spread(spark.range(3000).select(F.when(F.col("id") > 0, F.col("id") % 1000).alias("k"), F.lit("old").alias("v")), 3000, "k")
+    fresh = rows.withColumn("v", F.lit("new"))
+    again = spark.range(5000).select((F.col("id") % 500).alias("k"))
+    out = details.rebuild(rows, fresh, again, "k", 3000)
+    got = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(got) >= 28 and max(x["count"] for x in got) < 400
+    assert {(x.v, x["count"]) for x in out.groupBy("v").count().collect()} == {("old", 1501), ("new", 1499)}
+    plain = details.rebuild(rows, fresh, again, "k")
+    assert out.exceptAll(plain).count() == plain.exceptAll(out).count() == 0
+
+
 def test_model_matches(spark):
     subjects = spark.createDataFrame([(1, "FORD", "F150"), (2, "FORD", "ZZZ"), (3, "FORD", "F150")], "id int, make string, model string")
     models = spark.createDataFrame([("FORD", m) for m in ("F-150", "F150", "F150 XL", "FOCUS")] + [("RAM", "F150")] + [("FORD", f"F150 X{i}") for i in range(12)], "make string, api_model string")
