@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import presence, text, vehicles
 from ..functions.numbers import ratio
 from .canonical import cascade
@@ -122,13 +123,23 @@ def by_table(value: Column, table: Mapping[str, str], default: str) -> Column:
 def detail(tests: DataFrame, children: Mapping[str, tuple[DataFrame, Sequence[str]]], key: str) -> DataFrame:
     """Tests with their children nested: name -> (table, columns), sorted by those columns; without children an empty list.
 
-    Children are kept to those of the tests before they are gathered, so `tests` should be the few that are asked for."""
-    out = tests
+    Children are kept to those of the tests before they are gathered, so `tests` should be the few that are asked for.  Tests and the children of
+    all kinds are written once; their numbers tell into how many parts they are dealt, and one grouping gathers all kinds."""
+    spark = tests.sparkSession
+    folder = session.workspace(spark)
+    asked = session.kept(tests, f"{folder}/tests")
+    keys = asked.select(key).distinct().hint("shuffle_hash")
+    rows = None
     for name, (df, columns) in children.items():
-        some = df.join(tests.select(key), key, "left_semi")
-        nested = some.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
-        out = out.join(nested, key, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(nested.schema[name].dataType)))
-    return out
+        some = df.join(keys, key, "left_semi").select(key, F.struct(*columns).alias(name))
+        rows = some if rows is None else rows.unionByName(some, allowMissingColumns=True)
+    if rows is None:
+        return asked
+    rows = session.kept(rows, f"{folder}/children")
+    size = max(rows.count(), asked.count())
+    nested = spread(rows, size, key).groupBy(key).agg(*[F.array_sort(F.collect_list(name)).alias(name) for name in children])
+    out = spread(asked, size, key).join(nested, key, "left")
+    return out.select(*[F.coalesce(F.col(c), F.array().cast(nested.schema[c].dataType)).alias(c) if c in children else F.col(c) for c in out.columns])
 
 
 def model_matches(subjects: DataFrame, models: DataFrame, subject: str, make: str = "make", model: str = "model", name: str = "api_model", least: int = 76, most: int = 8, year: str | None = None) -> DataFrame:

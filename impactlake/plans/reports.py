@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import dates, ratings, text, vehicles
 from ..operators import audit, canonical, details, linkage, planning, readmodel, reports, scoring
 from .queries import RANKED, L, cents, lines, query, ranked, t
@@ -248,8 +249,11 @@ def configuration_bucket(spark, d):
       count(n) AS asset_count, count(n) FILTER (f = 'R') AS return_count, coalesce(max(n), 0) AS last_line FROM x GROUP BY 1, 2, 3""")
 def nested_detail(spark, d):
     """Tests with five nested child sets, read back as texts and counts."""
+    folder = session.workspace(spark)
     o = t(spark, d, "orders").where("o_orderdate >= '1998-07-01' and o_orderpriority = '1-URGENT'").join(t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "o_orderstatus", "c_name")
-    li = lines(spark, d).withColumnRenamed("l_orderkey", "o_orderkey")
+    o, mine = session.kept(o, f"{folder}/orders"), t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    mine = mine.join(o.select("o_orderkey").hint("shuffle_hash"), "o_orderkey", "left_semi")  # lines of other orders are dropped before parts are looked up
+    li = session.kept(mine.join(t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey"), f"{folder}/lines")
     out = details.detail(o, {
         "vehicles": (li, ["l_linenumber", "p_brand", "l_partkey", "l_suppkey"]), "participants": (li.select("o_orderkey", "l_returnflag").distinct(), ["l_returnflag"]), "assets": (li, ["l_partkey"]),
         "restraints": (li.where("l_returnflag = 'R'"), ["l_suppkey"]), "channels": (li, ["l_linenumber"]),

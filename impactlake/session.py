@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -46,3 +46,9 @@ def workspace(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/impactlake-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """df after it was written to a folder below a workspace: what is above is worked out once, and its rows are counted by footers."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

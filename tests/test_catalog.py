@@ -182,6 +182,21 @@ def test_rebuild_and_resume(spark):
     assert sorted(x[0] for x in details.resume(wanted, rows, runs, "test_no", F.col("age") > 600).collect()) == [6, 7]
 
 
+def test_detail_gathers_all_kinds_at_once(spark, monkeypatch):
+    """Repeated tests, null keys and kinds without rows; the parts are as many as the rows ask for."""
+    monkeypatch.setattr(details, "PART", 100)
+    tests = spark.createDataFrame([(i % 900 if i else None, i) for i in range(1000)], "k long, n long")
+    a = spark.range(2000).select((F.col("id") % 1000).alias("k"), (-F.col("id")).alias("x"), F.lit(None).cast("string").alias("y"))
+    none = a.where("k < 0").select("k", "x")
+    out = details.detail(tests, {"a": (a, ["x", "y"]), "none": (none, ["x"])}, "k")
+    got = out.collect()
+    assert out.columns == ["k", "n", "a", "none"] and len(got) == 1000 and all(r.none == [] for r in got)
+    assert all(r.a == ([] if r.k is None else [(-1000 - r.k, None), (-r.k, None)]) for r in got)
+    assert out.groupBy(F.spark_partition_id()).count().count() >= 15
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
+
+
 def test_rebuild_gives_a_task_few_rows(spark, monkeypatch):
     """The parts are as many as the rows ask for; null keys stay, and repeated ones are replaced once."""
     monkeypatch.setattr(details, "PART", 100)
