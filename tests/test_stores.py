@@ -291,3 +291,21 @@ def test_many_keys_are_not_broadcast(spark, tmp_path, monkeypatch):
     exploded.write.parquet(str(tmp_path / "rows"))
     inside = rebuild.in_scope(spark.read.parquet(str(tmp_path / "rows")))
     assert inside.count() == 1 and "Broadcast" not in inside._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_descent_looks_at_nothing_below_what_it_found(spark, monkeypatch):
+    """Objects that were found are not opened; texts that look like objects, and lists, are told as before."""
+    from impactlake.operators import descent
+
+    opened = []
+
+    def spy(level, key, real=descent._children):
+        opened.extend(x.node for x in level.select("node").collect())
+        return real(level, key)
+
+    monkeypatch.setattr(descent, "_children", spy)
+    bodies = ['{"n": 1, "a": {"b": {"n": 1}}}', '{"z": "{\\"n\\": 1}", "y": [[], {"n": 1, "c": [{"d": 1}]}]}', "[null, 3]", '{"q": 1}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "k long, body string")
+    got = descent.first_object(df, ["k"], "body", lambda v: F.try_variant_get(v, "$.n", "long") == 1).collect()
+    assert {x.k: (x.node, x.path) for x in got} == {0: (bodies[0], []), 1: ('{"n":1,"c":[{"d":1}]}', [1, 1])}
+    assert not any(x.startswith('{"n"') for x in opened) and len(opened) == 5
