@@ -322,6 +322,36 @@ def test_ranked_parts_make_few_pairs(spark, tmp_path):
     assert queries.candidate_rank(spark, str(tmp_path)).count() == 24000
 
 
+def test_confidence_counts_every_candidate(spark, tmp_path):
+    """Candidates past the eighth count too, and a block of many alike parts costs its rows, not their pairs."""
+    spark.range(3000).selectExpr("id AS p_partkey", "'b' AS p_brand", "'t' AS p_type", "'n' AS p_name", "IF(id = 0, 2, IF(id < 2000, 1, 40)) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    out = queries.confidence(spark, str(tmp_path))
+    assert max(rows_made(out)) <= 3000
+    assert {(x.subject == 0, x.candidate_count, x.top_score, x.second_score, x.confidence) for x in out.collect()} == {(True, 2999, 30, 30, "REVIEW_AMBIGUOUS_VARIANT"), (False, 2999, 35, 35, "REVIEW_AMBIGUOUS_VARIANT")}
+
+
+def test_score_counts_are_those_of_all_pairs(spark):
+    """Counts by score equal those of scoring every pair: nulls, repeated rows, an id with several rows, a hot block, scores that come out equal, no rows."""
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["x", "x", "x", "y", None]), rng.choice(["n1", "n2", "n3", None]), rng.choice([1, 2, 3, 6, 20, 2**31 - 1, None])) for i in range(150)]
+    rows += [rows[0], rows[3], (5, "x", "n1", 2), (5, "x", "n1", 3), (5, "x", "n2", 2), (None, "x", "n1", 2), (900, "z", "n1", 1), (901, "z", "n1", 4), (902, "w", "n1", 1)]
+    p = spark.createDataFrame(rows, "id int, b string, n string, s int")
+    a, b = p.toDF("subject", "b", "an", "asz"), p.toDF("candidate", "b", "bn", "bsz")
+    gap = F.abs(F.col("asz").cast("long") - F.col("bsz"))
+    shown = lambda df: sorted(map(repr, df.collect()))
+    for whole, steps, least in ((20, [(0, 15), (2, 10)], 15), (5, [(1, 10), (4, 5)], 5)):
+        points = F.lit(0)
+        for r, n in reversed(steps):
+            points = F.when(gap <= r, n).otherwise(points)
+        score = F.when(F.col("an") == F.col("bn"), whole).otherwise(0) + points
+        pairs = linkage.candidates(a, b, ["b"], F.when(F.col("subject") != F.col("candidate"), score), least, ["subject"], ["candidate"], 10**6)
+        counts = linkage.score_counts(a, b, ["b"], ("an", "bn", whole), ("asz", "bsz", steps), least, ("subject", "candidate"))
+        assert pairs.count() > 1000
+        assert shown(counts.select("subject", F.inline("_scores"))) == shown(pairs.groupBy("subject", "score").agg(F.count(F.lit(1)).alias("candidates")))
+        assert shown(linkage.confidence_of_counts(counts, "subject")) == shown(linkage.confidence(pairs, "subject"))
+    assert shown(linkage.score_counts(a.limit(0), b, ["b"], ("an", "bn", 20), ("asz", "bsz", [(0, 15)]), 5, ("subject", "candidate"))) == []
+
+
 def test_equivalence_and_metrics_read_ranked_rows_once_each(spark):
     rows = [(1, "s", 20, 1), (1, "s", 20, 2), (1, "t", 10, 3), (2, "u", 10, 1), (2, "u", 9, 2), (3, None, 5, 1), (3, "v", 5, 2), (4, "w", 5, 1)]
     r = spark.createDataFrame(rows, "subject int, signature string, score int, candidate_rank int")
